@@ -92,7 +92,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, n: int, alph
     return w[:n], float(w[n])
 
 
-def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, *, min_df: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 6, seed: int = 7) -> Model:
+def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, *, min_df: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 10, seed: int = 7) -> Model:
     """A model of labelled texts; no rows, or rows of one class, give the bias alone."""
     y = np.asarray(y, dtype=float)
     if len(y) == 0:
@@ -124,10 +124,11 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, *, min
     return Model(known[kept[alive]], w[alive], bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_text_bytes: int = 16384, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 16_000, max_text_bytes: int = 6_000, **options) -> Model:
     """Fits on at most ``max_rows`` labelled rows, half of each class where there are as
     many, whose texts have at most ``max_text_bytes`` bytes: a bounded, documented
-    sample, chosen by a hash of the key. Weights restore the classes' shares.
+    sample, chosen by a hash of the key. Weights restore the classes' shares, the rarer
+    class times the root of the ratio, so that it is not drowned.
 
     Null labels and null keys do not take part; a key labelled twice takes the larger label.
     """
@@ -140,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         got = short.join(F.broadcast(ids), "k", "left_semi").where(f"b is null or b <= {max_text_bytes}").dropDuplicates(["k"]).orderBy("k").collect()
         texts += [r.t for r in got]
         y += [side] * len(got)
-        weight += [total.get(side, 0) / max(1, len(got))] * len(got)
+        rarer = max(1.0, total.get(1 - side, 0) / max(1, total.get(side, 0))) ** 0.5
+        weight += [rarer * total.get(side, 0) / max(1, len(got))] * len(got)
     w = np.asarray(weight)
     return fit(pa.array(texts, pa.string()), np.asarray(y), w / w.mean() if len(w) else w, **options)
 
