@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, toxicity
+from lodestone.llm import language_id, packing, sharding, topk, toxicity
 from lodestone.llm.common import fold
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -27,9 +33,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels), carry=["doc_id", "held_out"])
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    vectors = topk.clean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", whole)
+    return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_topk": op7_topk,
+    "op9_packing": op9_packing,
+    "op10_sharding": op10_sharding,
 }
 #: None of the ten operators can be written in SQL; their tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
