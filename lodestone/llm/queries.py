@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, packing, sharding, topk, toxicity
+from lodestone.llm import language_id, lm_score, packing, sharding, topk, toxicity
 from lodestone.llm.common import fold
 
 
@@ -27,6 +27,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, carry=["doc_id", "held_out"])
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
+    return lm_score.score(docs, ~F.col("held_out"), carry=["doc_id", "held_out"])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
@@ -49,6 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_lm_score": op3_lm_score,
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op9_packing": op9_packing,

@@ -99,17 +99,28 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, *, min
         return Model(np.zeros(0, dtype=U64), np.zeros(0), 0.0)
     weight = np.ones(len(y)) if weight is None else weight
     raw, offs = buffer(texts)
-    keys, docs = [], []
-    for lo, hi in chunks(offs):
-        h, first = word_hashes(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], _WORD)
-        for f, doc in features(h, first):
-            order = np.lexsort((f, doc))
-            f, doc = f[order], doc[order]
-            new = np.ones(len(f), dtype=bool)
-            new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
-            keys.append(f[new])
-            docs.append(doc[new] + lo)
-    key, doc = np.concatenate(keys or [np.zeros(0, dtype=U64)]), np.concatenate(docs or [np.zeros(0, dtype=np.int64)])
+
+    def present() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi in chunks(offs, 1 << 20):
+            h, first = word_hashes(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], _WORD)
+            for f, doc in features(h, first):
+                order = np.lexsort((f, doc))
+                f, doc = f[order], doc[order]
+                new = np.ones(len(f), dtype=bool)
+                new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+                yield f[new], (doc[new] + lo).astype(np.int32)
+
+    # Two passes: counts by 24 bits of the hash first, so that only features that may reach min_df are held.
+    near = np.zeros(1 << 24, dtype=np.int32)
+    for f, _ in present():
+        np.add.at(near, (f & U64(0xFFFFFF)).astype(np.int64), 1)
+    keys, docs = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int32)]
+    for f, doc in present():
+        may = near[(f & U64(0xFFFFFF)).astype(np.int64)] >= min_df
+        keys.append(f[may])
+        docs.append(doc[may])
+    del near
+    key, doc = np.concatenate(keys), np.concatenate(docs)
     known, index, df = np.unique(key, return_inverse=True, return_counts=True)
     kept = np.flatnonzero(df >= min_df)
     dense = np.full(len(known), -1)
@@ -124,7 +135,7 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, *, min
     return Model(known[kept[alive]], w[alive], bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 16_000, max_text_bytes: int = 6_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_text_bytes: int = 6_000, **options) -> Model:
     """Fits on at most ``max_rows`` labelled rows, half of each class where there are as
     many, whose texts have at most ``max_text_bytes`` bytes: a bounded, documented
     sample, chosen by a hash of the key. Weights restore the classes' shares, the rarer
@@ -138,13 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     texts, y, weight = [], [], []
     for side in (0, 1):
         ids = marks.where((F.col("y") > 0) == F.lit(side == 1)).orderBy(F.xxhash64("k"), "k").limit(max_rows // 2).select("k")  # bounded by max_rows
-        got = short.join(F.broadcast(ids), "k", "left_semi").where(f"b is null or b <= {max_text_bytes}").dropDuplicates(["k"]).orderBy("k").collect()
-        texts += [r.t for r in got]
+        got = short.join(F.broadcast(ids), "k", "left_semi").where(f"b is null or b <= {max_text_bytes}").dropDuplicates(["k"]).orderBy("k").select("t").toArrow()
+        texts.append(got["t"].combine_chunks().cast(pa.large_string()))
         y += [side] * len(got)
         rarer = max(1.0, total.get(1 - side, 0) / max(1, total.get(side, 0))) ** 0.5
         weight += [rarer * total.get(side, 0) / max(1, len(got))] * len(got)
     w = np.asarray(weight)
-    return fit(pa.array(texts, pa.string()), np.asarray(y), w / w.mean() if len(w) else w, **options)
+    return fit(pa.concat_arrays(texts), np.asarray(y), w / w.mean() if len(w) else w, **options)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]) -> DataFrame:
