@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, lm_score, packing, sharding, topk, toxicity
+from lodestone.llm import decontaminate, jaccard_join, language_id, lm_score, packing, quality, sharding, topk, toxicity
 from lodestone.llm.common import fold
 
 
@@ -27,11 +27,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, carry=["doc_id", "held_out"])
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
     return lm_score.score(docs, ~F.col("held_out"), carry=["doc_id", "held_out"])
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
@@ -54,7 +66,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op3_lm_score": op3_lm_score,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
     "op9_packing": op9_packing,
