@@ -318,3 +318,18 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     named = named.join(least, "comp").select("node", "component_id")
     out = full.join(named, "node").select(F.col("k").alias(key), F.col("size").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("size = 0").select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.col("k").alias("component_id")))
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of ``docs`` for each group of linked documents, the one with the smallest
+    key, all columns as they are. Texts without words are alone and stay. Of rows
+    that repeat a key and are linked one stays, whichever; rows with a null key stay."""
+    found = written(classes(docs, key=key, text=text, words=words, num=num, den=den), "jaccard-classes")
+    name = "__kept_key"
+    while name in docs.columns:
+        name += "_"
+    kept = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(name)).agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    out = docs.join(kept.select(name), docs[key] == F.col(name), "left_semi")
+    if not kept.where("rows > 1 and n > 0").isEmpty():
+        out = out.dropDuplicates([key])
+    return out.unionByName(docs.where(docs[key].isNull()))

@@ -222,3 +222,19 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[st
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(s), pa.array(rate)], names=[*b.schema.names[:-1], "lang_pred", "score", "bits"])
 
     return inner.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score", "bits")
+
+
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", most_bits: float = 5.0, judged_letters: int = 200) -> DataFrame:
+    """The rows of ``docs`` in a language that the model knows, all columns as they are, in
+    place. Rejected are texts that are null or have no letter, and texts of at
+    least ``judged_letters`` bytes that cost the winner more than ``most_bits`` for each
+    letter: no learned language explains them. A model without languages rejects all."""
+    handed, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, _, bits = handed.value.predict(b.column(place))
+            size = np.diff(buffer(b.column(place))[1])
+            yield b.filter(pa.array((np.array(names, dtype=object) != "und") & ((bits <= most_bits) | (size < judged_letters))))
+
+    return docs.mapInArrow(run, docs.schema)

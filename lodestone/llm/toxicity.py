@@ -174,3 +174,15 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they are, in place.
+    Null and empty texts are judged by the bias."""
+    handed, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(handed.value.scores(b.column(place)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
