@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, jaccard_join, language_id, lm_score, packing, quality, sharding, topk, toxicity
+from lodestone.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, packing, quality, sharding, topk, toxicity
 from lodestone.llm.common import fold
 
 
@@ -56,6 +56,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A page's file is its address without scheme, query and fragment; its text is what stands between tags.
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return license_scan.scan(table(spark, sf_dir, "pages"), key="page_id", path=path, text=F.regexp_replace("html", "<[^>]*>", "\n"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_topk": op7_topk,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
