@@ -1,8 +1,6 @@
 """Named queries over the standard tables, and the SQL that each is held against."""
 
-from collections.abc import Callable
+from lodestone.plans.oracle import ORACLE_SQL
+from lodestone.plans.queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,0 +1,103 @@
+"""Readers and writers: the standard tables, reviews, interactions, points and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+REVIEW = "user_id string, business_id string, date string, stars double"
+BUSINESS = "business_id string, city string"
+INTERACTION = "user_id string, business_id string"
+RATING = "user_id string, business_id string, stars double"
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str = REVIEW) -> DataFrame:
+    """JSON-lines files under an explicit schema; fields outside it are not parsed."""
+    return spark.read.schema(schema).json(path)
+
+
+def csv_table(spark: SparkSession, path: str, schema: str = INTERACTION) -> DataFrame:
+    """CSV with a header, quote-aware; only real header lines go, not rows that equal them."""
+    return spark.read.schema(schema).csv(path, header=True)
+
+
+def points(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """(id, label, features) from CSV without header: index, label, then ``dims`` numbers."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), *(T.StructField(f"x{i}", T.DoubleType()) for i in range(dims))])
+    return spark.read.schema(schema).csv(path).select("id", "label", F.array(*[f"x{i}" for i in range(dims)]).alias("features"))
+
+
+def socket_stream(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines of a text socket as a stream, column ``value``."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def file_stream(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 1) -> DataFrame:
+    """Parquet files of a folder or pattern as a stream, the oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def json_field(stream: DataFrame, field: str, column: str = "value") -> DataFrame:
+    """One string field of JSON lines, lines without it dropped."""
+    return stream.select(F.get_json_object(column, f"$.{field}").alias(field)).where(F.col(field).isNotNull())
+
+
+def tracked(stream: DataFrame, words: list[str], language: str = "en", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows in a language whose text holds any of the words, whatever their case."""
+    low = F.lower(F.col(text))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | low.contains(w.lower())
+    return stream.where((F.col(lang) == language) & hit)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
+    df.write.mode("overwrite").csv(path, sep=sep, header=header)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """One batch's rows added to a CSV folder, for use in ``foreachBatch``."""
+    df.write.mode("append").csv(path, header=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set here only where it is unset."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone-checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends here and any executor can read it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Rows numbered from 1 in a total order, without gathering them: ranges are sorted
+    apart, and a range's rows start after the counts of those before it."""
+    spark = df.sparkSession
+    ranged = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = sorted((r.p, r.n) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row for each range
+    before, rows = 0, []
+    for p, n in counts:
+        rows.append((p, before - (p << 33)))
+        before += n
+    shift = spark.createDataFrame(rows, "_p long, _shift long")
+    return ranged.withColumn("_p", part).join(F.broadcast(shift), "_p").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_p", "_at", "_shift")

@@ -1,0 +1,89 @@
+"""Structured Streaming forms of the sketches.
+
+State that Spark's operators cannot hold (a filter's positions, a sample) is a small
+table in the shared folder, renewed by each batch; the batch number names it, so that
+a batch that is run again starts from the same state.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import sketches
+from lodestone.sources import shared_dir
+
+
+def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", trigger: str | None = None) -> None:
+    """Runs a query over what is there (or at an interval such as "10 seconds", until stopped)."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}")
+    writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
+    writer.start().awaitTermination()
+
+
+class State:
+    """Tables by name and batch in the shared folder."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.base, self.last = spark, f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", {}
+
+    def put(self, name: str, batch: int, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{name}-{batch}"
+        df.write.mode("overwrite").parquet(path)
+        self.last[name] = (path, df.schema)
+        return self.get(name)
+
+    def get(self, name: str) -> DataFrame | None:
+        if name not in self.last:
+            return None
+        path, schema = self.last[name]
+        return self.spark.read.schema(schema).parquet(path)
+
+
+def fm(stream: DataFrame, ts: str, value: str, length: str, slide: str, late: str = "60 days") -> DataFrame:
+    """The windows' estimates after all that the stream has; late rows up to ``late`` count."""
+    state = State(stream.sparkSession, "stream-fm")
+    marked = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    run(sketches.flajolet_martin(marked, ts, value, length, slide), lambda df, b: state.put("windows", b, df) and None, "complete")
+    return state.get("windows")
+
+
+def bloom(stream: DataFrame, value: str, order: list[str], period: str, m: int = 199) -> DataFrame:
+    """(period, n, fp, fpr) as :func:`sketches.bloom_rate`; arrival is by batch, then ``order``."""
+    state = State(stream.sparkSession, "stream-bloom")
+
+    def each(df: DataFrame, batch: int) -> None:
+        df = df.select(F.col(value).alias("v"), F.struct(F.lit(batch).alias("batch"), *order).alias("at"), F.col(period).alias("period"))
+        known, since = state.get("values"), state.get("since")
+        firsts = df.groupBy("v").agg(F.min("at").alias("first"))
+        if known is not None:
+            firsts = firsts.join(known.select("v"), "v", "left_anti")
+        bits = firsts.select("v", "first", F.explode(F.array_distinct(sketches.slots(F.col("v"), m))).alias("bit"))
+        now = bits.groupBy("bit").agg(F.min("first").alias("since"))
+        if since is not None:
+            now = now.unionByName(since).groupBy("bit").agg(F.min("since").alias("since"))
+        now = state.put("since", batch, now)
+        new = bits.join(F.broadcast(now), "bit").groupBy("v").agg((F.max("since") < F.first("first")).alias("fp"))
+        seen = state.put("values", batch, new if known is None else known.unionByName(new))
+        per = df.join(seen, "v").groupBy("period").agg(F.count("*").alias("n"), F.sum(F.col("fp").cast("long")).alias("fp"))
+        old = state.get("periods")
+        state.put("periods", batch, per if old is None else old.unionByName(per).groupBy("period").agg(F.sum("n").alias("n"), F.sum("fp").alias("fp")))
+
+    run(stream, each)
+    return sketches.running_rate(state.get("periods"))
+
+
+def reservoir(stream: DataFrame, key: str, tag: str, size: int = 100, ranks: int = 3) -> DataFrame:
+    """The most frequent tags of a uniform sample of the stream."""
+    state = State(stream.sparkSession, "stream-reservoir")
+
+    def each(df: DataFrame, batch: int) -> None:
+        old = state.get("sample")
+        df = df.select(key, tag)
+        state.put("sample", batch, sketches.reservoir(df if old is None else df.unionByName(old.select(key, tag)), key, size).select(key, tag))
+
+    run(stream, each)
+    return sketches.top_tags(state.get("sample"), tag, ranks)
