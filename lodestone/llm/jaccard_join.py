@@ -51,7 +51,7 @@ def shingles(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray
         at = np.arange(len(h)) - np.repeat(first[:-1], count)
         whole = np.minimum(count, words)[doc]  # words in the shingles of this text
         s = np.zeros(len(h), dtype=U64)
-        for j in range(words):
+        for j in range(min(words, len(h))):
             on = np.zeros(len(h), dtype=bool)
             on[: len(h) - j] = doc[: len(h) - j] == doc[j:]
             on &= j < whole
@@ -101,6 +101,12 @@ def bands(top: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def _beyond(mean: float, k: int) -> float:
+    """E[max(0, X - k)] of a Poisson count: light segments that a set cannot skip."""
+    top = int(k + mean + 12 * math.sqrt(mean) + 24)
+    return sum((x - k) * math.exp(x * math.log(mean) - mean - math.lgamma(x + 1)) for x in range(k + 1, top)) if mean > 0 else 0.0
+
+
 def plan(counts: dict[int, int], top: int, num: int, den: int) -> list[Band]:
     """The cheapest segments for each band; ``counts``: sets by band."""
     out = []
@@ -112,7 +118,7 @@ def plan(counts: dict[int, int], top: int, num: int, den: int) -> list[Band]:
                 m = -(-math.ceil(need * (1 + spare)) // worth)
                 light = (1 - 1 / m) ** lo * (1 if worth == 1 else 1 + lo / m)  # chance of an empty (or nearly) segment
                 skipped = (m * worth - need) // worth
-                kept = max(0.0, m * light - 0.8 * skipped)
+                kept = _beyond(m * light, skipped)
                 rows = n * 2 * (m + (hi if worth == 2 else 0))
                 best = min(best, (rows + 20 * n * n * kept * light, Band(lo, hi, m, worth)), key=lambda x: x[0])
         out.append(best[1])
