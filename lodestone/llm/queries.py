@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, jaccard_join, language_id, license_scan, lm_score, packing, quality, sharding, topk, toxicity
 from lodestone.llm.common import fold
+from lodestone.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-#: None of the ten operators can be written in SQL; their tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
