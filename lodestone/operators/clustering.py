@@ -20,6 +20,46 @@ from lodestone.sources import numbered, written
 
 def summaries(points: DataFrame, cluster: str, dims: int, vector: str = "features") -> DataFrame:
     """(cluster, n, s, ss): counts, sums and sums of squares, all dimensions in one pass."""
+    x = [F.col(vector)[i].cast("double") for i in range(dims)]
+    return points.groupBy(cluster).agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(v * v) for v in x]).alias("ss"))
+
+
+def long_form(summary: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, dim, n, s, ss), dimensions from 0."""
+    return summary.select(cluster, "n", F.posexplode(F.arrays_zip("s", "ss")).alias("dim", "z")).select(cluster, F.col("dim").cast("long").alias("dim"), "n", F.round("z.s", 4).alias("s"), F.round("z.ss", 4).alias("ss"))
+
+
+@dataclass
+class Summary:
+    n: int
+    s: np.ndarray
+    ss: np.ndarray
+
+    def __add__(self, other: Summary) -> Summary:
+        return Summary(self.n + other.n, self.s + other.s, self.ss + other.ss)
+
+    @property
+    def centroid(self) -> np.ndarray:
+        return self.s / self.n
+
+    @property
+    def std(self) -> np.ndarray:
+        return np.sqrt(np.maximum(self.ss / self.n - self.centroid**2, 0))
+
+    def distance(self, x: np.ndarray) -> float:
+        """Of a point; dimensions without spread are left out."""
+        std = self.std
+        on = std > 1e-9
+        return float(np.sqrt((((x - self.centroid)[on] / std[on]) ** 2).sum()))
+
+
+def collect(summary: DataFrame, cluster: str) -> dict[int, Summary]:
+    return {r[cluster]: Summary(r.n, np.array(r.s), np.array(r.ss)) for r in summary.orderBy(cluster).collect()}  # one row for each cluster
+
+
+def assign(points: DataFrame, clusters: dict[int, Summary], limit: float, vector: str = "features", none: int = -1) -> DataFrame:
+    """``points`` with ``cluster`` (the nearest, ties to the smaller, or ``none`` beyond
+    ``limit``) and ``distance`` (rounded to 6 digits; null without clusters)."""
     if not clusters:
         return points.withColumn("cluster", F.lit(none).cast("long")).withColumn("distance", F.lit(None).cast("double"))
     ids = np.array(sorted(clusters))
