@@ -27,12 +27,16 @@ from lodestone.operators import clustering, explore, graph, itemsets, recommend,
 from lodestone.sources import BUSINESS, RATING, append_csv, csv_table, json_field, json_lines, points, socket_stream, write_csv, write_json, written
 
 
+def _counted(key: str):
+    return lambda x: F.struct(x[key].alias(key), (-x["n"]).alias("n"))
+
+
 def _explore(s: SparkSession, reviews: str, out: str, year: str = "2018") -> None:
     r = written(json_lines(s, reviews), "reviews")
     one = explore.overview(r, int(year)).groupBy().pivot("metric", ["n_review", "n_review_year", "n_user", "n_business"]).agg(F.first("value"))
     for name, key in (("top10_user", "user_id"), ("top10_business", "business_id")):
         best = explore.top(r, key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), key))).alias(name))
-        one = one.join(F.broadcast(best.select(F.transform(name, lambda x, key=key: F.struct(x[key].alias(key), (-x["n"]).alias("n"))).alias(name))))  # one row each
+        one = one.join(F.broadcast(best.select(F.transform(name, _counted(key)).alias(name))))  # one row each
     write_json(one, out)
 
 
