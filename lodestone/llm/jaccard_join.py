@@ -10,15 +10,15 @@ set in an equal segment (worth 1) or in one that equals its own up to one deleti
 
 Allocation by cost. From the number of sets in a band the plan weighs the rows of
 each choice (exact or one-deletion segments, and how many more than needed) against
-the pairs that empty segments would bring. Segments beyond need let a set
-skip its lightest ones, which are those that unrelated sets share. Every set is
-indexed under all its segments, so skipping loses nothing.
+the pairs that empty segments would bring. Every set is indexed under all its
+segments, and looks up no more than it needs, from the least shared up. Segments
+that no other set has count as looked up: so many of them, and the set has no partner.
 
 Groups. Equal sets are one node from the start. Within the sets that share a key,
 each is verified with one of them; links found so are joined to components; only
-pairs that share a key and are still in different components are then verified one
-by one. A group of near copies thus costs as many verifications as it has members.
-Verification intersects the whole sets.
+pairs that share a key, are still in different components and pass the bounds of
+sizes and parities are then verified one by one. A group of near copies thus costs
+as many verifications as it has members. Verification intersects the whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,8 +130,11 @@ def band_of(size: np.ndarray, table: list[Band]) -> np.ndarray:
     return np.searchsorted(np.array([b.lo for b in table]), size, side="right") - 1
 
 
-def keys(s: np.ndarray, first: np.ndarray, table: list[Band], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(set, key, looked up) for all sets of a range: their own band, then the band below."""
+def keys(s: np.ndarray, first: np.ndarray, table: list[Band], num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For all sets of a range, in their own band (0) and as guests of the band below (1):
+    (0 or 1, set, key, segment) by key, and (segments, need, limit) by set. A set looks up
+    ``need`` segments to find all partners that are no larger; ``limit`` lonely segments
+    rule out any partner, larger ones too (in the band below there are none)."""
     size = np.diff(first)
     own = band_of(size, table)
     hi, seg, worth = (np.array([getattr(b, x) for b in table], dtype=np.int64) for x in ("hi", "segments", "worth"))
@@ -140,7 +144,7 @@ def keys(s: np.ndarray, first: np.ndarray, table: list[Band], num: int, den: int
         band = np.where(ok, band, 0)
         if below:
             ok &= size <= hi[band] * den // num
-        partner = np.where(below == 1, hi[band], size)  # the largest partner that this lookup must find
+        partner = np.where(below == 1, hi[band], size)  # the largest partner that this set must find
         need = (size + partner) * (den - num) // (den + num) + 1
         m = np.where(ok, seg[band], 0)
         base = np.cumsum(m) - m
@@ -158,17 +162,22 @@ def keys(s: np.ndarray, first: np.ndarray, table: list[Band], num: int, den: int
         of = np.repeat(np.arange(len(m)), m)
         nth = np.arange(total) - base[of]
         place = nth.astype(U64) * _K2 + band[of].astype(U64) * _K3
-        slack = (m * worth[band] - need) // worth[band]
-        order = np.lexsort((held, of))
-        rank = np.empty(total, dtype=np.int64)
-        rank[order] = np.arange(total) - base[of]
-        looked = rank >= np.maximum(slack, 0)[of]
-        take = looked if below else np.ones(total, dtype=bool)
-        yield of[take], mix(content[take] * _K1 + place[take] + held[take].astype(U64)), looked[take]
-        cut = (worth[band] == 2)[doc] & take[gid]
+        need = -(-need // worth[band])
+        limit = need if below else -(-(size * (den - num) // num + 1) // worth[band])
+        yield below, of, mix(content * _K1 + place + held.astype(U64)), nth, m, need, limit
+        cut = (worth[band] == 2)[doc]
         if cut.any():
             g = gid[cut]
-            yield doc[cut], mix((content[g] - term[cut]) * _K1 + place[g] + (held[g] - 1).astype(U64)), looked[g]
+            yield below, doc[cut], mix((content[g] - term[cut]) * _K1 + place[g] + (held[g] - 1).astype(U64)), idx[cut], m, need, limit
+
+
+def parity(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """1024 bits for each set: the parity of its shingles with each of 1024 hash values.
+    Two sets differ in at least as many shingles as their bits differ."""
+    n = len(first) - 1
+    at = owner(first) * 1024 + (mix(s + _K1) >> U64(54)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * 1024) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, 16)
 
 
 class Filter:
@@ -191,27 +200,72 @@ class Filter:
         return {"bits": self.bits}
 
 
-def _key_rows(docs: DataFrame, words: int, table: list[Band], num: int, den: int, chosen: Filter | None) -> DataFrame:
-    """(key, node, size, looked): equal sets of a batch once."""
+def _once(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each set of a batch once: shingles, firsts, names, sizes."""
+    node, size = nodes(s, first)
+    single = np.zeros(len(node), dtype=bool)
+    single[np.unique(node, return_index=True)[1]] = True
+    return s[single[owner(first)]], np.concatenate(([0], np.cumsum(size[single]))), node[single], size[single]
+
+
+def _key_rows(docs: DataFrame, words: int, table: list[Band], num: int, den: int) -> DataFrame:
+    """(key, node): all keys of all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, s, first in shingles(b.column("t"), words):
-                node, size = nodes(s, first)
-                _, one = np.unique(node, return_index=True)
-                single = np.zeros(len(node), dtype=bool)
-                single[one] = True
-                s, first = s[single[owner(first)]], np.concatenate(([0], np.cumsum(size[single])))
-                node, size = node[single], size[single]
-                for doc, key, looked in keys(s, first, table, num, den):
-                    if chosen is not None:
-                        near = chosen(key)
-                        doc, key, looked = doc[near], key[near], looked[near]
+                s, first, node, _ = _once(s, first)
+                for _, doc, key, *_ in keys(s, first, table, num, den):
                     for a in range(0, len(key), 200_000):
-                        d = doc[a : a + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000].view(np.int64)), pa.array(node[d].view(np.int64)), pa.array(size[d].astype(np.int32)), pa.array(looked[a : a + 200_000])], names=["key", "node", "size", "looked"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000].view(np.int64)), pa.array(node[doc[a : a + 200_000]].view(np.int64))], names=["key", "node"])
+
+    return docs.mapInArrow(run, "key long, node long")
 
-    return docs.mapInArrow(run, "key long, node long, size int, looked boolean")
+
+def _member_rows(docs: DataFrame, words: int, table: list[Band], num: int, den: int, chosen: Filter) -> DataFrame:
+    """(key, node, size, below, segment, segments, need, limit) of the keys that others may
+    share. A set with ``limit`` segments or more without such a key has no partner, since
+    a partner differs in fewer segments, and is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, s, first in shingles(b.column("t"), words):
+                s, first, node, size = _once(s, first)
+                parts: dict[int, list] = {}
+                for below, doc, key, nth, m, need, limit in keys(s, first, table, num, den):
+                    near = chosen(key)
+                    parts.setdefault(below, []).append((doc[near], key[near], nth[near], m, need, limit))
+                for below, found in parts.items():
+                    doc, key, nth = (np.concatenate([f[i] for f in found]) for i in range(3))
+                    m, need, limit = found[0][3:]
+                    base = np.cumsum(m) - m
+                    shared = np.zeros(int(m.sum()), dtype=bool)
+                    shared[base[doc] + nth] = True
+                    lonely = m - np.bincount(np.repeat(np.arange(len(m)), m), shared, minlength=len(m)).astype(np.int64)
+                    live = lonely[doc] < limit[doc]
+                    doc, key, nth = doc[live], key[live], nth[live]
+                    for a in range(0, len(key), 100_000):
+                        d = doc[a : a + 100_000]
+                        columns = [key[a : a + 100_000].view(np.int64), node[d].view(np.int64), size[d].astype(np.int32), np.full(len(d), below == 1), nth[a : a + 100_000].astype(np.int32), m[d].astype(np.int32), need[d].astype(np.int32), limit[d].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size", "below", "segment", "segments", "need", "limit"])
+
+    return docs.mapInArrow(run, "key long, node long, size int, below boolean, segment int, segments int, need int, limit int")
+
+
+def lookups(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, node, size, looked): sets that may have a partner, under their keys, and which
+    of these they look up. ``shared``: (key, n).
+
+    A set looks up ``need`` segments. Those that nobody shares are free, and ``limit`` of
+    them rule a partner out; the others are taken from the least shared up."""
+    role = ["node", "below"]
+    rows = members.join(shared, "key")
+    cost = rows.groupBy(*role, "segment").agg(F.sum("n").alias("cost"), F.first("need").alias("need"), F.first("segments").alias("segments"), F.first("limit").alias("limit"))
+    all_of = W.partitionBy(*role)
+    cost = cost.withColumn("lonely", F.col("segments") - F.count("*").over(all_of)).where(F.col("lonely") < F.col("limit"))
+    cost = cost.withColumn("looked", F.row_number().over(all_of.orderBy("cost", "segment")) <= F.col("need") - F.col("lonely"))
+    rows = rows.join(cost.select(*role, "segment", "looked"), [*role, "segment"]).where("looked or not below")
+    return rows.groupBy("key", "node").agg(F.max("size").alias("size"), F.max("looked").alias("looked"))
 
 
 def _sets(docs: DataFrame, words: int, chosen: Filter) -> DataFrame:
@@ -223,13 +277,28 @@ def _sets(docs: DataFrame, words: int, chosen: Filter) -> DataFrame:
                 one = one[chosen(node[one]) & (size[one] > 0)]
                 for a in range(0, len(one), 500):
                     part = one[a : a + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[part].view(np.int64)), pa.array([s[first[i] : first[i + 1]].view(np.int64) for i in part], pa.list_(pa.int64()))], names=["node", "items"])
+                    items = [s[first[i] : first[i + 1]] for i in part]
+                    bits = parity(np.concatenate(items), np.concatenate(([0], np.cumsum([len(x) for x in items]))))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[part].view(np.int64)), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64())), pa.array(list(bits), pa.list_(pa.int64()))],
+                        names=["node", "items", "bits"],
+                    )
+
+    return docs.mapInArrow(run, "node long, items array<long>, bits array<long>")
+
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+def may_link(a: str, b: str, size_a: str, size_b: str, num: int, den: int) -> Column:
+    """Bounds that every linked pair keeps: of the sizes, and of the differing parities."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(16)), F.lit(0))
+    fits = F.lit(den) * F.least(size_a, size_b) >= F.lit(num) * F.greatest(size_a, size_b)
+    return fits & (F.lit(den + num) * differ <= F.lit(den - num) * (F.col(size_a) + F.col(size_b)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, from the whole sets."""
+    """The pairs (a, b) whose sets reach the threshold: bounds first, then the whole sets."""
+    small = sets.select("node", F.size("items").alias("n"), "bits")
+    a, b = (small.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    pairs = written(pairs.join(b, "b").join(a, "a").where(may_link("a_bits", "b_bits", "a_n", "b_n", num, den)).select("a", "b"), "jaccard-bounded")
     a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
     both = F.size(F.array_intersect("a_items", "b_items"))
     union = F.size("a_items") + F.size("b_items") - both
@@ -260,25 +329,25 @@ def components(links: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, words: int, num: int, den: int, top: int, counts: dict[int, int]) -> DataFrame:
     """(node, comp) for all nodes with a link; ``docs``: a column t."""
     table = plan(counts, top, num, den)
-    rows = _key_rows(docs, words, table, num, den, None)
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("looked").alias("looked")).where("lo < hi and looked").select("key")
-    chosen = Filter(written(shared, "jaccard-keys"), "key")
-    members = written(_key_rows(docs, words, table, num, den, chosen), "jaccard-members").distinct()
-    hubs = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.min_by("size", "node").alias("n")).where("a < z")
-    fits = (F.lit(den) * F.least("n", "size") >= F.lit(num) * F.greatest("n", "size"))
-    near = members.join(hubs, "key").where((F.col("node") != F.col("a")))
-    stars = written(near.where(fits).select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
-    wanted = near.select(F.explode(F.array("a", "node")).alias("node")).distinct()
+    rows = _key_rows(docs, words, table, num, den)
+    shared = written(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"), "jaccard-keys")
+    members = written(_member_rows(docs, words, table, num, den, Filter(shared, "key")), "jaccard-members")
+    # Equal sets of several batches are one.
+    members = written(lookups(members.dropDuplicates(["key", "node", "below", "segment"]), shared), "jaccard-lookups")
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.max("looked").alias("any")).where("a < z and any").select("key", "a")
+    near = written(members.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
+    wanted = members.join(hubs, "key", "left_semi").select("node").distinct()
     sets = written(_sets(docs, words, Filter(wanted, "node")).dropDuplicates(["node"]), "jaccard-sets")
-    links = written(verified(stars, sets, num, den), "jaccard-links")
+    links = written(verified(near, sets, num, den), "jaccard-links")
     comps = written(components(links), "jaccard-components")
     # What shares a key and is still apart.
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("looked").alias("any")).where("lo < hi and any").select("key")
-    apart = written(placed.join(split, "key", "left_semi"), "jaccard-apart")
-    l, r = apart.select("key", *(F.col(c).alias(f"l_{c}") for c in ("node", "size", "looked", "comp"))), apart
-    pairs = l.join(r, "key").where("l_comp < comp and (looked or l_looked)").where(F.lit(den) * F.least("l_size", "size") >= F.lit(num) * F.greatest("l_size", "size"))
-    pairs = pairs.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    bits = sets.select("node", "bits")
+    apart = written(placed.join(split, "key", "left_semi").join(bits, "node"), "jaccard-apart")
+    l, r = apart.where("looked").select("key", *(F.col(c).alias(f"l_{c}") for c in ("node", "size", "comp", "bits"))), apart
+    pairs = l.join(r, (l["key"] == r["key"]) & (F.col("l_comp") != F.col("comp")) & may_link("l_bits", "bits", "l_size", "size", num, den))
+    pairs = pairs.select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct().join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(verified(pairs, sets, num, den), "jaccard-more")
     if more.isEmpty():
         return comps

@@ -93,3 +93,19 @@ def test_one_deletion_segments_find_all(spark, monkeypatch):
     docs = documents(spark, rows=edited(random.Random(9), 40))
     got = jaccard_join.classes(docs, words=2, num=80, den=100)
     assert sorted(map(tuple, got.collect()), key=repr) == brute([(r.doc_id, r.text) for r in docs.collect()], 2, 80, 100)
+
+
+def test_links_at_the_very_threshold(spark):
+    """Subsets and supersets at exactly nine tenths, in and across bands, with partners that only the larger can look up."""
+    rng = random.Random(11)
+    rows, i = [], 0
+    for n in (9, 10, 18, 19, 20, 27, 36, 45, 90, 91, 100, 171):
+        own = [f"w{n}x{j}" for j in range(n)]
+        for size in {n, n - n // 10, n - n // 20, n - n // 10 - 1, n - 1}:
+            kept = sorted(rng.sample(range(n), size))
+            rows.append((i, " ".join(own[j] for j in kept), "en"))
+            i += 1
+    rng.shuffle(rows)
+    docs = documents(spark, rows=rows)
+    got = jaccard_join.classes(docs, words=1, num=90, den=100)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute([(r.doc_id, r.text) for r in docs.collect()], 1, 90, 100)
