@@ -30,7 +30,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text handled at once; a longer document is handled alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
