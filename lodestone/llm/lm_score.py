@@ -1,28 +1,32 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts. Words are counted over the whole training part: each block of documents
-sends its distinct words to count shards and gets the corpus counts back, in
-block-sized rows of packed numbers, so that a frequent word is one entry for a
-block, not a row for each occurrence.
-
-Model. Words with at least ``frequent`` of all tokens are symbols of their own (at
-most 1 / ``frequent`` of them); all others share the symbol of rare words. N-grams
-of up to three symbols with at least ``kept`` of all tokens (so at most 1 / ``kept``
-for each order, whatever the corpus) become arcs: absolute discounting,
-interpolated with the next shorter context. A state is the longest context that
-has arcs, and its failure arc drops the oldest symbol, with the weight that makes
-the state's distribution sum to one. A rare word's probability in its symbol is its
-discounted share of all rare tokens; the mass that discounting leaves is that of
-unknown words, one event, as in the base model.
+Counts. Words and pairs are counted over the whole training part: each block of
+documents sends its distinct ones to count shards and gets the corpus counts back,
+in block-sized rows of packed numbers, so that a frequent word is one entry for a
+block, not a row for each occurrence. Triples follow where both their pairs repeat.
+
+Model. Every word is a symbol of its own, and every pair and triple that occurs
+``LEAST`` times is an arc: absolute discounting, interpolated with the next shorter
+context. The failure arc of a context drops its oldest symbol, with the weight that
+makes its distribution sum to one. Arcs and failure weights are joined to the blocks
+by shards of their keys, so the model grows with the corpus and no process holds it.
+A word's own probability is its discounted share of all tokens; the mass that
+discounting leaves is that of unknown words, one event, as in the base model.
+
+A caller may bound the model instead (``frequent``, ``kept``). Then words with less than
+``frequent`` of all tokens share the symbol of rare words, n-grams need ``kept`` of all
+tokens, and the automaton is broadcast.
 
 Scoring. A text is traversed once from left to right; the state is what the last
-two symbols allow. Every document of a block is traversed in the same vector
+two words allow. Every document of a block is traversed in the same vector
 operations.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, Lookup, buffer, chunks, owner, text_bytes, word_hashes, written
+from lodestone.llm.common import U64, Lookup, buffer, chunks, mix, owner, text_bytes, word_hashes, written
 
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 8 << 20
@@ -269,11 +273,219 @@ def _lower(self: Automaton, s: np.ndarray, context: np.ndarray) -> np.ndarray:
 Automaton.lower = _lower
 
 
-def score(docs: DataFrame, train: Column, *, text: str = "text", carry: list[str], frequent: float = 5e-5, kept: float = 1e-6) -> DataFrame:
+#: An n-gram is an arc from so many occurrences on, whatever the size of the corpus.
+LEAST = 2
+#: Kinds of sharded rows: words, pairs, triples, contexts of one and of two words; 0 has a block's share of single triples.
+WORDS, PAIRS, TRIPLES, AFTER_ONE, AFTER_TWO = 1, 2, 3, 4, 5
+SENT = "kind int, shard long, block long, keys binary, a binary, b binary, stats array<long>"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in the least width that holds them, byte planes apart."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    width = x[0]
+    planes = np.frombuffer(x, dtype=np.uint8, offset=1).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(U64)
+
+
+def _sent(bits: int, kind: int, block: int | None, u: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """A row for each shard that the sorted keys ``u`` touch; shards are ranges of keys."""
+    s = (u >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), dtype=np.int64)
+    ids = np.unique(s)
+    lo, hi = np.searchsorted(s, ids), np.searchsorted(s, ids, side="right")
+    return [(kind, int(k), block, packed(u[i:j]), packed(a[i:j]), packed(b[i:j]), None) for k, i, j in zip(ids, lo, hi, strict=True)]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    types = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "a": pa.binary(), "b": pa.binary(), "stats": pa.list_(pa.int64())}
+    return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types.items())})
+
+
+def _follow(context: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The key of a context and the word after it."""
+    return mix(context * U64(0x9E3779B97F4A7C15) + h)
+
+
+class Grams:
+    """The tokens of a block with its distinct words and pairs. A text starts in the
+    context of the end of another one, so that contexts count as often as they are followed."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray):
+        self.h, self.first = tokens(texts)
+        self.later = np.ones(len(self.h), dtype=bool)  # has two words before it, the start counted
+        self.later[self.first[:-1]] = False
+        self.words, self.word = np.unique(self.h, return_inverse=True)
+        self.before = np.concatenate((np.searchsorted(self.words, [END]), self.word[:-1]))
+        two = _follow(self.words[self.before], self.h)
+        self.pairs, self.example, self.pair = np.unique(two, return_index=True, return_inverse=True)
+
+    def triples(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the triples whose two pairs both repeat (``n``: the pairs' counts), as every
+        triple that repeats has them: places, distinct keys, their contexts, and each place's key."""
+        repeats = n[self.pair] >= LEAST
+        at = np.flatnonzero(self.later[1:] & repeats[1:] & repeats[:-1]) + 1
+        context = self.pairs[self.pair[at - 1]]
+        u, example, inverse = np.unique(_follow(context, self.h[at]), return_index=True, return_inverse=True)
+        return at, u, context[example], inverse
+
+
+def tallied(sent: DataFrame, bits: int) -> DataFrame:
+    """Sums of ``a`` and ``b`` by key, shard by shard: a row back for each row with a block, in
+    the order of its keys, and for each shard a row of totals (all, distinct, once,
+    twice). Of pairs, ``b`` marks one of the rows that sent a key. Triples also give their
+    contexts the sum and the number of those that repeat, as rows without a block."""
+
+    def count(group: pa.Table) -> pa.Table:
+        kind, shard = group["kind"][0].as_py(), group["shard"][0].as_py()
+        keys = [unpacked(x) for x in group["keys"].to_pylist()]
+        a, b = (np.concatenate([unpacked(x) for x in group[c].to_pylist()]) for c in ("a", "b"))
+        u, example, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        sums = _sums(inverse, a, len(u))
+        one = np.zeros(len(a), dtype=np.int64)
+        if kind == PAIRS:
+            one[example] = 1
+        elif kind in (AFTER_ONE, AFTER_TWO):
+            one = _sums(inverse, b, len(u))[inverse]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        answers = zip(group["block"].to_pylist(), np.split(sums[inverse], cuts), np.split(one, cuts), strict=True)
+        out = [(kind, shard, block, None, packed(x), packed(y), None) for block, x, y in answers if block is not None]
+        if kind == TRIPLES:
+            kept = sums >= LEAST
+            context, i = np.unique(b[example[kept]], return_inverse=True)
+            out += _sent(bits, AFTER_TWO, None, context, _sums(i, sums[kept], len(context)), np.bincount(i, minlength=len(context)))
+        stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
+        return _table([*out, (kind, shard, None, None, None, None, stats)])
+
+    return sent.groupBy("kind", "shard").applyInArrow(count, SENT)
+
+
+def _sums(i: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(i, x.astype(float), minlength=n).astype(np.int64)  # exact below 2**53
+
+
+def _answers(group: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By kind the answers to a block, in the order of its keys."""
+    rows = sorted(zip(group["kind"].to_pylist(), group["shard"].to_pylist(), group["a"].to_pylist(), group["b"].to_pylist(), strict=True), key=lambda r: r[:2])
+    out = {}
+    for kind in (WORDS, PAIRS, TRIPLES, AFTER_ONE, AFTER_TWO):
+        mine = [r for r in rows if r[0] == kind]
+        out[kind] = tuple(np.concatenate([np.zeros(0, dtype=np.int64), *(unpacked(r[c]).astype(np.int64) for r in mine)]) for c in (2, 3))
+    return out
+
+
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and the shuffles of the step removed: Spark drops their files only after
+    the driver collects garbage, the first time what refers to them, then themselves."""
+    out = written(df, name)
+    for _ in range(2):
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+    return out
+
+
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def _whole(inner: DataFrame, ids: list[str], n_blocks: int) -> DataFrame:
+    """Scores by all n-grams of the corpus that repeat, each word a symbol of its own. The
+    blocks send their distinct words and pairs to shards and get the corpus counts
+    back, then the triples that may repeat and the contexts; nothing is broadcast but totals."""
+    bits = max(0, (n_blocks - 1).bit_length())
+
+    def learned(left: pa.Table, g: Grams) -> np.ndarray:
+        return np.asarray(left["train"])[owner(g.first)]
+
+    def first_round(left: pa.Table) -> pa.Table:
+        g, block = Grams(left["t"]), left["block"][0].as_py()
+        taught = learned(left, g)
+        rows = []
+        for kind, u, i in ((WORDS, g.words, g.word), (PAIRS, g.pairs, g.pair)):
+            rows += _sent(bits, kind, block, u, np.bincount(i[taught], minlength=len(u)), np.zeros(len(u), dtype=np.int64))
+        return _table(rows)
+
+    def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, block, have = Grams(left["t"]), left["block"][0].as_py(), _answers(right)
+        taught, c, (n, mine) = learned(left, g), have[WORDS][0], have[PAIRS]
+        at, u, context, i = g.triples(n)
+        rows = _sent(bits, TRIPLES, block, u, np.bincount(i[taught[at]], minlength=len(u)), context)
+        mine = (mine > 0) & (n >= LEAST)
+        after, often = g.before[g.example[mine]], c >= LEAST
+        rows += _sent(bits, AFTER_ONE, block, g.words[often], _sums(after, n[mine], len(c))[often], np.bincount(after, minlength=len(c))[often])
+        none = np.zeros(int((n >= LEAST).sum()), dtype=np.int64)
+        rows += _sent(bits, AFTER_TWO, block, g.pairs[n >= LEAST], none, none)
+        # A triple with a pair that occurs once occurs once.
+        single = int((g.later & taught).sum() - taught[at].sum())
+        return _table([*rows, (0, 0, None, None, None, None, [single, single, single, 0])])
+
+    blocks = inner.select("block", "train", "t").groupBy("block")
+    counts = _step(tallied(blocks.applyInArrow(first_round, SENT), bits), "lm-counts")
+    back = counts.where("block is not null")
+    sent = _step(blocks.cogroup(back.groupBy("block")).applyInArrow(second_round, SENT), "lm-sent")
+    more = _step(tallied(sent.where(F.col("kind").isin(TRIPLES, AFTER_ONE)), bits), "lm-triples")
+    part = more.where("block is null and keys is not null")
+    last = _step(tallied(sent.where(F.col("kind") == AFTER_TWO).unionByName(part), bits), "lm-contexts")
+    total = {k: np.zeros(4, dtype=np.int64) for k in (WORDS, PAIRS, TRIPLES)}
+    stats = counts.unionByName(more).unionByName(sent).where("stats is not null")
+    for r in stats.groupBy("kind").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4)]).collect():  # one row for each kind
+        kind = r[0] or TRIPLES
+        if kind in total:
+            total[kind] += np.array(r[1:], dtype=np.int64)
+    n, v = (int(x) for x in total[WORDS][:2])
+    d1, d2, d3 = (_discount(int(x[2]), int(x[3])) for x in total.values())
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, have = Grams(left["t"]), _answers(right)
+        c, pairs = have[WORDS][0], have[PAIRS][0]
+        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        p = (np.where(c > 0, c - d1, d1 * v) / n)[g.word] if n else np.ones(len(g.h))
+        held = _rest(c, have[AFTER_ONE], d2)[g.before]
+        share = np.where(pairs >= LEAST, pairs - d2, 0)[g.pair] / np.maximum(c[g.before], 1)
+        p = share + held * p
+        at, _, _, i = g.triples(pairs)
+        share = np.zeros(len(p))
+        share[at] = np.where(have[TRIPLES][0] >= LEAST, have[TRIPLES][0] - d3, 0)[i] / pairs[g.pair[at - 1]]
+        held = np.ones(len(p))
+        held[1:] = np.where(g.later[1:], _rest(pairs, have[AFTER_TWO], d3)[g.pair[:-1]], 1)
+        p = np.log10(share + held * p)
+        doc, size = owner(g.first), len(g.first) - 1
+        arrays = {x: left[x] for x in ids}
+        arrays["n_tokens"] = pa.array(np.diff(g.first), pa.int64())
+        arrays["n_known"] = pa.array(np.bincount(doc, c[g.word] > 0, minlength=size).astype(np.int64))
+        arrays["train_tokens"] = pa.array(np.full(size, n), pa.int64())
+        arrays["base_score"] = pa.array(np.bincount(doc, base[g.word], minlength=size))
+        arrays["score"] = pa.array(np.bincount(doc, p, minlength=size))
+        return pa.table(arrays)
+
+    answers = reduce(DataFrame.unionByName, [t.where("block is not null").select("kind", "block", "shard", "a", "b") for t in (counts, more, last)])
+    return inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _scored(inner, ids))
+
+
+def _rest(n: np.ndarray, after: tuple[np.ndarray, np.ndarray], discount: float) -> np.ndarray:
+    """What the arcs after each context leave to the shorter one; contexts that do not repeat have no arc."""
+    out, some = np.ones(len(n)), n >= LEAST
+    out[some] = 1 - (after[0] - discount * after[1]) / n[some]
+    return out
+
+
+def _scored(inner: DataFrame, ids: list[str]) -> T.StructType:
+    return T.StructType([inner.schema[c] for c in ids]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+
+
+def score(docs: DataFrame, train: Column, *, text: str = "text", carry: list[str], frequent: float | None = None, kept: float = 1e-6) -> DataFrame:
     """The columns ``carry`` of each row, then ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (the add-0.1 unigram's log10 probability) and ``score`` (the
     automaton's). The model learns from all rows where ``train`` is true.
 
+    Every word is a symbol and every n-gram that occurs ``LEAST`` times an arc. Only where
+    ``frequent`` is given are symbols and arcs bounded by these shares of all tokens, so that
+    one automaton is broadcast.
+
     Null and empty texts are the end token alone. Repeated rows count, and are scored,
     each for itself. Without training rows every token is unknown: the base score
     is 0 for each, and so is the score. An empty table gives an empty result. Other
@@ -284,12 +496,15 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", carry: list[str
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(train, F.lit(False)).alias("train"), body.alias("t"))
     ids = [f"c{i}" for i in range(len(carry))]
     inner = inner.withColumn("block", F.pmod(F.xxhash64("t", *ids), F.lit(n_blocks)).cast("long"))
+    names = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if frequent is None:
+        return _whole(inner, ids, n_blocks).select(*names)
     counts = written(corpus_counts(inner.select("block", "train", "t"), n_blocks, frequent), "lm-counts")
     words, totals = frequent_words(counts, frequent)
     ngrams = written(symbol_ngrams(inner.where("train").select("t"), words), "lm-ngrams")
     auto = automaton(ngrams, words, totals, kept)
     handed = docs.sparkSession.sparkContext.broadcast(auto)
-    schema = T.StructType([inner.schema[c] for c in ids]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    schema = _scored(inner, ids)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = handed.value
@@ -316,4 +531,4 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", carry: list[str
 
     answers = counts.where("block is not null").select("block", "shard", "counts")
     out = inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(*names)

@@ -109,6 +109,49 @@ def test_base_scores_equal_brute_force(spark, rows):
     assert have == brute_base([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def brute_score(rows, mod=10):
+    """All words as symbols and all n-grams that repeat as arcs, by the definition."""
+    grams, docs = [Counter(), Counter(), Counter()], []
+    for i, t in rows:
+        k = ["\x00end", *words(t), "\x00end"]
+        docs.append((i, k))
+        if not held_out(i, mod):
+            for j in range(1, len(k)):
+                for order in range(min(j + 1, 3)):
+                    grams[order][tuple(k[j - order : j + 1])] += 1
+    n, d = sum(grams[0].values()), []
+    for g in grams:
+        once, twice = (sum(x == y for x in g.values()) for y in (1, 2))
+        d.append(once / (once + 2 * twice) if once and twice else 0.5)
+    after = [Counter(), Counter()]
+    for order in (1, 2):
+        for x, m in grams[order].items():
+            if m >= 2:
+                after[order - 1][x[:-1]] += m - d[order]
+
+    def p(x):
+        if len(x) == 1:
+            return 1 if not n else (grams[0][x] - d[0] if grams[0][x] else d[0] * len(grams[0])) / n
+        order, total = len(x) - 1, grams[len(x) - 2][x[:-1]]
+        if not total:
+            return p(x[1:])
+        m = grams[order][x]
+        return (m - d[order] if m >= 2 else 0) / total + (1 - after[order - 1][x[:-1]] / total) * p(x[1:])
+
+    return sorted([(repr(i), round(sum(math.log10(p(tuple(k[max(0, j - 2) : j + 1]))) for j in range(1, len(k))), 6)) for i, k in docs])
+
+
+@pytest.mark.parametrize("block", [8 << 20, 20_000])
+def test_scores_equal_brute_force_whatever_the_size_of_the_corpus(spark, monkeypatch, block):
+    """Words and n-grams that occur twice among 100,000 tokens keep their own arcs."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    rng = random.Random(11)
+    twins = [(1000 + i, f"alpha{i // 2} beta{i // 2} gamma{i // 2} delta{i}", "en") for i in range(60)]
+    docs = documents(spark, rows=[*twins, *[(i, "the " * 900 + prose(rng, "en", 30), "en") for i in range(120)], (500, None, "en"), (None, "", "en"), (501, "unseen words", "en"), (501, "unseen words", "en")])
+    got = lm_score.score(docs.withColumn("h", fold(F.col("doc_id"), 10) == 0), fold(F.col("doc_id"), 10) != 0, carry=["doc_id"])
+    assert sorted((repr(r.doc_id), round(r.score, 6)) for r in got.collect()) == brute_score([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_automaton_is_a_distribution_and_beats_the_base(spark):
     rng = random.Random(5)
     docs = documents(spark, rows=[(i, " ".join(rng.choice(["a b c", "d e f", "x"]) for _ in range(40)), "en") for i in range(80)]).select(F.col("text").alias("t"))
