@@ -1,7 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Each file is read whole, line by line; a line that holds one of ``MARKERS`` may be a
-header, and a file with the name of a licence file is compared as one text. Term
+Each file is read whole, line by line; a line, or a block
+of adjacent lines, that holds one of ``MARKERS`` may be a header. A block ends at a line
+without letters and digits, and where a comment turns into code. A file with the name of
+a licence file is compared as one text too. Years and holders of a copyright are no part of a notice. Term
 vectors are sparse rows (text, term, weight) joined with the templates' rows on the
 term. A file without a licence of its own takes that of the nearest directory above
 it that declares one, by equi-joins on the paths of its ancestors.
@@ -16,26 +18,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short notices of public licences, as their stewards word them.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_END = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_GPL_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_END = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Notices, headers and texts of public licences, as their stewards word them; the long texts of
+#: Apache, GPL and CC are known by their titles and the headers that they hold.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     ),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        _MIT,
+        f"MIT License Copyright {_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_END}",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License, version 3 or any later version."),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _GPL.format(2), f"{_GPL.format(2)} {_GPL_END}", "GNU General Public License Version 2, June 1991"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License, version 3 or any later version.", _GPL.format(3), f"{_GPL.format(3)} {_GPL_END}", "GNU General Public License Version 3, 29 June 2007"),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License.", _BSD, f"BSD 3-Clause License Copyright All rights reserved. {_BSD} {_BSD_END}"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License"),
     "CC0-1.0": ("CC0 1.0 Universal, public domain dedication.",),
-    "proprietary": ("All rights reserved.", "Copyright, all rights reserved. Unauthorised copying is prohibited."),
+    "proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "Copyright, all rights reserved. Unauthorised copying is prohibited."),
 }
 #: What a line must hold to be read as a notice, and names of licence files.
 MARKERS = "licen[cs]ed?|copyright|rights reserved|redistribution|permission is|public domain|creative commons"
+#: A year with its holder after "copyright", up to what else the line says; a comment's last line before code.
+HOLDER = r"(?i)copyright\s+(?:\(c\)\s*|©\s*)?\d{4}[^\n]{0,200}?(?=all rights reserved|licen[cs]e|released|permission|distributed|\n|$)"
+COMMENT_END = r"(?m)^([ \t]*(?:#|//|/?\*|;|--|%)[^\n]*)\n(?=[ \t]*[A-Za-z0-9_])"
 LICENCE_FILE = r"(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -86,7 +103,11 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     idf = vocabulary.join(held.groupBy("word").agg(F.count("*").alias("df")), "word", "left").select("word", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf"))
     rare = F.log(F.lit(n + 1.0) / 2.0) + 1.0
     is_file = F.coalesce(F.lower("path").rlike(LICENCE_FILE), F.lit(False))
-    lines = rows.select("u", is_file.alias("whole"), F.posexplode(F.when(is_file, F.array("t")).otherwise(F.filter(F.split("t", "\n"), lambda x: F.lower(x).rlike(MARKERS)))).alias("line", "t"))
+    body = F.regexp_replace("t", HOLDER, "copyright ")
+    blocks = F.split(F.regexp_replace(body, COMMENT_END, "$1\n\n"), "\n(?:[^A-Za-z0-9\n]*\n)+")
+    parts = F.filter(F.array_distinct(F.concat(F.split(body, "\n"), blocks)), lambda x: F.lower(x).rlike(MARKERS))
+    marked = F.when(F.lower("t").rlike(MARKERS), parts).otherwise(F.array().cast("array<string>"))
+    lines = rows.select("u", is_file.alias("whole"), F.posexplode(F.when(is_file, F.concat(F.array(body), marked)).otherwise(marked)).alias("line", "t"))
     texts = lines.select("u", "line", "whole", terms(F.col("t")).alias("words"))
     cosine = (
         weights(texts, ["u", "line", "whole"], idf, rare)

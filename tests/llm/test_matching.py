@@ -74,6 +74,16 @@ def test_licences_are_found_and_inherited(spark):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+def test_whole_licence_files_and_wrapped_headers_are_found(spark):
+    mit = f"MIT License\n\nCopyright (c) 2024 Jo Doe\n\n{license_scan._MIT}\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n{license_scan._MIT_END}\n"
+    bsd = f"BSD 3-Clause License\n\nCopyright (c) 2019, Foo Labs\nAll rights reserved.\n\n{license_scan._BSD}\n\n{license_scan._BSD_END}"
+    gpl = "".join(f" * {x}\n" for x in ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."])
+    rows = [(1, "m/LICENSE", mit), (2, "b/COPYING", bsd), (3, "g/x.c", f"/*\n{gpl} */\nint main;\n"), (4, "h/y.py", gpl.replace(" *", "#") + "import os\nimport sys, re, json\n"), (5, "p/z.c", "// Copyright (c) 2024 Foo Inc. All rights reserved.\nint x;"), (6, "m/code.py", "import os"), (7, "q/w.py", "# Copyright 2024 Foo\nx = 1")]
+    files = spark.createDataFrame(rows, "page_id long, path string, text string")
+    got = sorted((r.page_id, r.licence, r.origin) for r in license_scan.scan(files).collect())
+    assert got == [(1, "MIT", "file"), (2, "BSD-3-Clause", "file"), (3, "GPL-3.0", "header"), (4, "GPL-3.0", "header"), (5, "proprietary", "header"), (6, "MIT", "inherited"), (7, None, None)]
+
+
 @pytest.mark.parametrize("spread", [1.0, 0.05])
 def test_top_k_equals_brute_force(spark, spread):
     rng = np.random.default_rng(3)
