@@ -8,7 +8,8 @@ vectors are sparse rows (text, term, weight) joined with the templates' rows on
 term. A file without a licence of its own takes that of the nearest directory above
 it that declares one, by equi-joins on the paths of its ancestors.
 
-Only DataFrame functions are used. The templates' terms are a bounded table.
+Only DataFrame functions are used. The templates' terms are a bounded table; document
+frequencies of all other terms are counted over all files and joined by term.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import written
+
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
 _MIT_END = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
@@ -68,10 +71,14 @@ def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]]) ->
     return one.select("template", "licence", terms(F.col("text")).alias("words"))
 
 
-def weights(rows: DataFrame, ids: list[str], idf: DataFrame, rare: Column) -> DataFrame:
-    """(ids, word, w): TF-IDF of ``rows``' column words, scaled to length 1."""
-    tf = rows.select(*ids, F.explode("words").alias("word")).groupBy(*ids, "word").agg(F.count("*").alias("tf"))
-    w = tf.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+def frequencies(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, word, tf) of ``rows``' column words."""
+    return rows.select(*ids, F.explode("words").alias("word")).groupBy(*ids, "word").agg(F.count("*").alias("tf"))
+
+
+def weights(tf: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, word, w): TF-IDF of the rows (ids, word, tf, idf), scaled to length 1."""
+    w = tf.withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy(*ids).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, ids).select(*ids, "word", (F.col("w") / F.col("norm")).alias("w"))
 
@@ -84,8 +91,8 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     A licence is the template with the highest cosine of at least ``threshold``; ties go to
     the first by name. A directory declares what its licence file says, or else what its
     index (a path that ends in "/") says; of several, the best score, then the first by
-    name. A term's document frequency is its number of files, over all files; terms
-    that no template has count as those of one file. Null and empty texts have no
+    name. A term's document frequency is its number of files, over all files and for every
+    term, whether a template has it or not. Null and empty texts have no
     licence of their own; null paths neither declare nor inherit. Repeated rows are
     files each for itself; an empty table gives an empty result. Other columns are not read.
     """
@@ -94,14 +101,9 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     path = F.col("path") if path is None else path
     text = F.col("text") if text is None else text
     named = template_rows(spark, templates)
-    vocabulary = named.select(F.explode("words").alias("word")).distinct()
     rows = files.select(F.col(key).alias("k"), path.alias("path"), text.alias("t"), F.xxhash64(F.col(key), path, text).alias("u"))
-    words = sorted({w for r in templates.values() for x in r for w in _plain(x)})
-    # Of each whole text only the templates' terms, once each, leave the scan.
-    held = rows.select(F.explode(F.array_intersect(terms(F.col("t")), F.array(*[F.lit(w) for w in words]))).alias("word"))
     n = files.count()
-    idf = vocabulary.join(held.groupBy("word").agg(F.count("*").alias("df")), "word", "left").select("word", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf"))
-    rare = F.log(F.lit(n + 1.0) / 2.0) + 1.0
+    df = rows.select(F.explode(F.array_distinct(terms(F.col("t")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     is_file = F.coalesce(F.lower("path").rlike(LICENCE_FILE), F.lit(False))
     body = F.regexp_replace("t", HOLDER, "copyright ")
     blocks = F.split(F.regexp_replace(body, COMMENT_END, "$1\n\n"), "\n(?:[^A-Za-z0-9\n]*\n)+")
@@ -109,9 +111,19 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     marked = F.when(F.lower("t").rlike(MARKERS), parts).otherwise(F.array().cast("array<string>"))
     lines = rows.select("u", is_file.alias("whole"), F.posexplode(F.when(is_file, F.concat(F.array(body), marked)).otherwise(marked)).alias("line", "t"))
     texts = lines.select("u", "line", "whole", terms(F.col("t")).alias("words"))
+    ids, named_ids = ["u", "line", "whole"], ["template", "licence"]
+    tf, named_tf = written(frequencies(texts, ids), "licence-terms"), frequencies(named, named_ids)
+    wanted = tf.select("word").unionByName(named_tf.select("word")).distinct()
+    idf = written(df.join(wanted, "word", "left_semi").select("word", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "licence-idf")
+    # Terms of a thousandth of the files or more are few (a thousand times a file's terms at most) and are handed out; no other is a hot key.
+    often = F.broadcast(idf.where(F.col("df") * 1000 >= n).select("word", "idf"))
+    seldom = idf.where(F.col("df") * 1000 < n).select("word", "idf")
+    weighed = tf.join(often, "word").unionByName(tf.join(F.broadcast(often.select("word")), "word", "left_anti").join(seldom, "word"))
+    unseen = F.log(F.lit(n + 1.0)) + 1.0
+    named_weighed = named_tf.join(idf.select("word", "idf"), "word", "left").withColumn("idf", F.coalesce("idf", unseen))
     cosine = (
-        weights(texts, ["u", "line", "whole"], idf, rare)
-        .join(F.broadcast(weights(named, ["template", "licence"], idf, rare).withColumnRenamed("w", "tw")), "word")
+        weights(weighed, ids)
+        .join(F.broadcast(weights(named_weighed, named_ids).withColumnRenamed("w", "tw")), "word")
         .groupBy("u", "line", "whole", "template", "licence")
         .agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
         .where(F.col("score") >= threshold)
@@ -130,7 +142,3 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     out = found.withColumn("own_dir", F.when(F.col("licence").isNull(), directory)).join(inherited, "own_dir", "left")
     origin = F.when(F.col("licence").isNotNull(), F.when(F.col("whole"), "file").otherwise("header")).when(F.col("i").isNotNull(), "inherited")
     return out.select(F.col("k").alias(key), "path", F.coalesce("licence", F.col("i.licence")).alias("licence"), F.coalesce("score", F.col("i.score")).alias("score"), origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("i.dir")).alias("declared_in"))
-
-
-def _plain(text: str) -> list[str]:
-    return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split() if w]

@@ -74,6 +74,14 @@ def test_licences_are_found_and_inherited(spark):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+def test_ordinary_words_of_a_notice_have_their_own_document_frequency(spark):
+    """A common word weighs little, in a table of many files too."""
+    rows = [(1, "a/x.py", "Code in this repository is licensed under the Apache License, Version 2.0.")]
+    rows += [(i, f"b/{i}", "Licensed under the Apache License, Version 2.0." if i % 10 == 0 else "code in this repository is this") for i in range(2, 4000)]
+    files = spark.createDataFrame(rows, "page_id long, path string, text string")
+    assert [(r.licence, r.origin) for r in license_scan.scan(files).where("page_id = 1").collect()] == [("Apache-2.0", "header")]
+
+
 def test_whole_licence_files_and_wrapped_headers_are_found(spark):
     mit = f"MIT License\n\nCopyright (c) 2024 Jo Doe\n\n{license_scan._MIT}\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n{license_scan._MIT_END}\n"
     bsd = f"BSD 3-Clause License\n\nCopyright (c) 2019, Foo Labs\nAll rights reserved.\n\n{license_scan._BSD}\n\n{license_scan._BSD_END}"
