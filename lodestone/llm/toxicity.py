@@ -1,9 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A model is fitted on a bounded sample of labelled texts (``max_rows`` and
-``max_text_bytes`` are the bounds) and has L1-sparse weights: a few thousand
-(feature hash, weight) pairs at most, broadcast to all executors. Scoring reads
-every whole text once, in place, with no shuffle.
+A model is fitted on a bounded sample of labelled rows (``max_rows`` and ``max_features``
+are the bounds) and has L1-sparse weights: a few thousand (feature hash, weight) pairs,
+broadcast to all executors. Scoring reads every whole text once, in place, with no
+shuffle.
 
 Features of a text: presence of each word, each pair of neighbours and each
 pair one word apart. Words are runs of letters, digits and bytes above 0x7F,
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, mix, owner, word_hashes
+from lodestone.llm.common import U64, buffer, chunks, mix, owner, word_hashes, written
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,77 +92,91 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, n: int, alph
     return w[:n], float(w[n])
 
 
-def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray | None = None, *, min_df: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 10, seed: int = 7) -> Model:
-    """A model of labelled texts; no rows, or rows of one class, give the bias alone."""
-    y = np.asarray(y, dtype=float)
-    if len(y) == 0:
-        return Model(np.zeros(0, dtype=U64), np.zeros(0), 0.0)
-    weight = np.ones(len(y)) if weight is None else weight
+def present(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For ranges of texts: the features of each text, once for each, and their texts (from 0 in the range)."""
     raw, offs = buffer(texts)
+    for lo, hi in chunks(offs):
+        h, first = word_hashes(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], _WORD)
+        f, doc = (np.concatenate(x) for x in zip(*features(h, first), strict=True))
+        order = np.lexsort((f, doc))
+        f, doc = f[order], doc[order]
+        new = np.ones(len(f), dtype=bool)
+        new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+        yield lo, hi, f[new], doc[new]
 
-    def present() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo, hi in chunks(offs, 1 << 20):
-            h, first = word_hashes(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], _WORD)
-            for f, doc in features(h, first):
-                order = np.lexsort((f, doc))
-                f, doc = f[order], doc[order]
-                new = np.ones(len(f), dtype=bool)
-                new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
-                yield f[new], (doc[new] + lo).astype(np.int32)
-
-    # Two passes: counts by 24 bits of the hash first, so that only features that may reach min_df are held.
-    near = np.zeros(1 << 24, dtype=np.int32)
-    for f, _ in present():
-        np.add.at(near, (f & U64(0xFFFFFF)).astype(np.int64), 1)
-    keys, docs = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int32)]
-    for f, doc in present():
-        may = near[(f & U64(0xFFFFFF)).astype(np.int64)] >= min_df
-        keys.append(f[may])
-        docs.append(doc[may])
-    del near
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    known, index, df = np.unique(key, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(df >= min_df)
-    dense = np.full(len(known), -1)
-    dense[kept] = np.arange(len(kept))
-    index = dense[index]
-    doc, index = doc[index >= 0], index[index >= 0]
-    order = np.argsort(doc, kind="stable")
-    cuts = np.searchsorted(doc[order], np.arange(len(y) + 1))
-    rows = [np.append(index[order[a:b]], len(kept)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    w, bias = ftrl(rows, y, weight, len(kept), alpha, beta, l1, l2, epochs, seed)
-    alive = np.flatnonzero(w)
-    return Model(known[kept[alive]], w[alive], bias)
+
+def frequent(sample: DataFrame, min_df: int, max_features: int) -> np.ndarray:
+    """Sorted hashes of the features that ``min_df`` texts (a column t) have; the most frequent ``max_features`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, f, _ in present(b.column("t")):
+                u, n = np.unique(f, return_counts=True)
+                for a in range(0, len(u), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000])], names=["f", "n"])
+
+    df = sample.select("t").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= min_df)
+    return np.sort(np.asarray(df.orderBy(F.desc("n"), "f").limit(max_features).select("f").toArrow()["f"]).astype(np.int64).view(U64))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_text_bytes: int = 6_000, **options) -> Model:
+def encoded(sample: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(k, y, i): each text's features among ``keys``, as packed 32-bit indices."""
+    handed = sample.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known, rows = handed.value, []
+            for lo, hi, f, doc in present(b.column("t")):
+                at = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
+                real = known[at] == f if len(known) else np.zeros(len(f), dtype=bool)
+                cuts = np.searchsorted(doc[real], np.arange(1, hi - lo))
+                rows += [x.tobytes() for x in np.split(at[real].astype("<i4"), cuts)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array(rows, pa.binary())], names=["k", "y", "i"])
+
+    schema = T.StructType([sample.schema["k"], sample.schema["y"]]).add("i", "binary")
+    return sample.select("k", "y", "t").mapInArrow(run, schema)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_features: int = 1 << 20, min_df: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 10, seed: int = 7) -> Model:
     """Fits on at most ``max_rows`` labelled rows, half of each class where there are as
-    many, whose texts have at most ``max_text_bytes`` bytes: a bounded, documented
-    sample, chosen by a hash of the key. Weights restore the classes' shares, the rarer
-    class times the root of the ratio, so that it is not drowned.
+    many: a bounded, documented sample, chosen by a hash of the key. Their texts are whole,
+    whatever their length. Weights restore the classes' shares, the rarer class times the
+    root of the ratio, so that it is not drowned.
+
+    Features are extracted and counted by the executors; those of fewer than ``min_df``
+    texts of the sample are left out, and so is what is beyond the ``max_features`` most
+    frequent. The driver gets the indices of the others alone, and fits.
 
-    Null labels and null keys do not take part; a key labelled twice takes the larger label.
+    Null labels and null keys do not take part; a key labelled twice takes the larger
+    label; of texts that repeat a key the least one is learned. No rows, or rows of one
+    class, give the bias alone.
     """
-    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
-    short = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.octet_length(F.col(text)).alias("b"))
-    total = {r.y: r["count"] for r in marks.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect()}
-    texts, y, weight = [], [], []
-    for side in (0, 1):
-        ids = marks.where((F.col("y") > 0) == F.lit(side == 1)).orderBy(F.xxhash64("k"), "k").limit(max_rows // 2).select("k")  # bounded by max_rows
-        got = short.join(F.broadcast(ids), "k", "left_semi").where(f"b is null or b <= {max_text_bytes}").dropDuplicates(["k"]).orderBy("k").select("t").toArrow()
-        texts.append(got["t"].combine_chunks().cast(pa.large_string()))
-        y += [side] * len(got)
-        rarer = max(1.0, total.get(1 - side, 0) / max(1, total.get(side, 0))) ** 0.5
-        weight += [rarer * total.get(side, 0) / max(1, len(got))] * len(got)
-    w = np.asarray(weight)
-    return fit(pa.concat_arrays(texts), np.asarray(y), w / w.mean() if len(w) else w, **options)
+    marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg((F.max("y") > 0).cast("int").alias("y"))
+    total = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}  # two rows
+    sides = [marks.where(F.col("y") == side).orderBy(F.xxhash64("k"), "k").limit(max_rows // 2) for side in (0, 1)]
+    ids = F.broadcast(sides[0].unionByName(sides[1]))  # bounded by max_rows
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(ids, "k")
+    sample = written(rows.groupBy("k").agg(F.min("y").alias("y"), F.min("t").alias("t")), "toxicity-sample")
+    keys = frequent(sample, min_df, max_features)
+    got = encoded(sample, keys).orderBy("k").select("y", "i").toArrow()
+    y = np.asarray(got["y"]).astype(float)
+    if not len(y):
+        return Model(np.zeros(0, dtype=U64), np.zeros(0), 0.0)
+    have = [max(1, int((y == side).sum())) for side in (0, 1)]
+    each = [max(1.0, total.get(1 - side, 0) / max(1, total.get(side, 0))) ** 0.5 * total.get(side, 0) / have[side] for side in (0, 1)]
+    weight = np.where(y > 0, each[1], each[0])
+    # The last coordinate is the bias.
+    lists = [np.append(np.frombuffer(x.as_buffer(), dtype="<i4"), np.int32(len(keys))) for x in got["i"]]
+    w, bias = ftrl(lists, y, weight / weight.mean(), len(keys), alpha, beta, l1, l2, epochs, seed)
+    alive = np.flatnonzero(w)
+    return Model(keys[alive], w[alive], bias)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]) -> DataFrame:
     """The columns ``carry`` of each row, then ``score`` (0 to 1) and ``predicted``
     (1 from 0.5 up). Null and empty texts get the score of the bias; repeated rows
-    are scored each for itself; an empty table gives an empty result. Columns of
-    ``docs`` outside ``carry`` are not read."""
+    are scored each for itself; an empty table gives an empty result. A carried column
+    named like a result gives way to it. Columns of ``docs`` outside ``carry`` are not read."""
     handed = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
     schema = T.StructType([f for f in inner.schema.fields if f.name != "t"]).add("score", "double").add("predicted", "integer")
@@ -173,7 +187,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
     out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "score", "predicted")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in ("score", "predicted")], "score", "predicted")
 
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float = 0.5) -> DataFrame:
