@@ -20,13 +20,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, buffer, chunks
+from lodestone.llm.common import LOWER, buffer, chunks, written
 
 BLOCK = 256
+#: A letter, by Unicode.
+LETTER = r"\p{L}"
 #: Classes: 0 ends a block, 1 is no letter, then a-z, then the bytes from 0x80.
 _CLASS = np.ones(256, dtype=np.uint8)
 _CLASS[97:123] = np.arange(2, 28)
@@ -136,73 +139,57 @@ class Model:
             out[:, i] = np.bincount(doc, count, minlength=len(n)).astype(np.int64)
         return out, n
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and the bits a letter class for each text."""
+    def predict(self, texts: pa.Array, has: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, the bits a letter class and the bits of a phrase for each
+        text; ``has``: whether it has a letter."""
         raw, offs = buffer(texts)
-        names, score, rate = [], np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
+        names, score, rate, phrase = [], np.zeros(len(offs) - 1), np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
         bits = np.array(self.bits)
         for lo, hi in chunks(offs):
-            own, at = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-            known = np.concatenate(([0], np.cumsum(_letter_bytes(own))))
-            has = known[at[1:]] > known[at[:-1]]
             if not self.langs:
                 names += ["und"] * (hi - lo)
                 continue
-            counts, n = self.phrases(own, at)
+            counts, n = self.phrases(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             cost = counts * bits / np.maximum(n, 1)[:, None]
             best = cost.argmin(axis=1)
             low = cost[np.arange(len(best)), best]
             # Softmax of the costs, sharper for longer texts: 1 when no other language comes near.
             share = 1 / np.exp2(-np.clip((cost - low[:, None]) * np.sqrt(np.maximum(n, 1))[:, None], 0, 60)).sum(axis=1)
-            score[lo:hi] = np.where(has, share, 0)
-            rate[lo:hi] = np.where(has, low, 0)
-            names += [self.langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)]
-        return names, score, rate
-
-
-def _letter_bytes(raw: np.ndarray) -> np.ndarray:
-    """A byte of a letter: a-z, A-Z, or of a character above U+007F that is a letter.
-
-    Lead bytes tell enough for the two-byte blocks: 0xC2 and U+00D7, U+00F7 hold
-    signs (but ª, µ and º); from three bytes on, 0xE2 (punctuation and symbols), 0xE3 0x80
-    (CJK punctuation), 0xEF and 0xF0 0x9F (emoji) do not count as letters."""
-    low = LOWER[raw]
-    out = (low >= 97) & (low <= 122)
-    lead = (raw >= 0xC3) & ~np.isin(raw, (0xE2, 0xE3, 0xEF, 0xF0))
-    after = np.zeros_like(raw)
-    after[:-1] = raw[1:]
-    lead &= ~((raw == 0xC3) & np.isin(after, (0x97, 0xB7)))
-    lead |= (raw == 0xC2) & np.isin(after, (0xAA, 0xB5, 0xBA))
-    lead |= (raw == 0xE3) & (after != 0x80)
-    lead |= (raw == 0xEF) & (after != 0xBF) & (after != 0xB8)
-    lead |= (raw == 0xF0) & (after != 0x9F)
-    return out | lead
-
-
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_bytes: int = 48_000, text_cap: int = 2_000) -> Model:
-    """A model of all non-null values of ``lang``, each from at most ``sample_bytes`` of
-    labelled text, in pieces of at most ``text_cap`` characters of texts drawn by their
-    hash (a bounded sample). Repeated texts are taken once."""
-    have = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and length(t) > 0")
-    n = max(8, 4 * sample_bytes // text_cap)
-    counts = {r["l"]: r["count"] for r in have.groupBy("l").count().collect()}  # one row for each language
-    if not counts:
-        return Model([], [], [])
-    # Some 4n of a language's rows lie below its limit of the hash; copies of one text are one row from the map side on.
-    limits = F.create_map(*[F.lit(x) for l, k in counts.items() for x in (l, min(1.0, 4 * n / k))])
-    drawn = have.withColumn("h", F.xxhash64("t")).where((F.shiftrightunsigned("h", 11) / F.lit(2.0**53)) <= limits[F.col("l")])
-    pieces: dict[str, list] = {}
-    for r in drawn.groupBy("l", "h").agg(F.min(F.substring("t", 1, text_cap)).alias("t")).collect():
-        pieces.setdefault(r["l"], []).append((r["h"], r["t"]))
-    langs, edges, bits = [], [], []
-    for l in sorted(pieces):
-        raw, offs = buffer(pa.array([f" {t}" for _, t in sorted(pieces[l])[:n]], pa.string()))
-        s = letters(raw, offs)[0][:sample_bytes].tobytes()
-        if s:
-            langs.append(l)
-            edges.append(automaton(s))
-            bits.append(float(np.log2(len(s) + 1)))
-    return Model(langs, edges, bits)
+            score[lo:hi] = np.where(has[lo:hi], share, 0)
+            rate[lo:hi] = np.where(has[lo:hi], low, 0)
+            phrase[lo:hi] = bits[best] / np.maximum(n, 1)
+            names += [self.langs[b] if ok else "und" for b, ok in zip(best, has[lo:hi], strict=True)]
+        return names, score, rate, phrase
+
+
+#: The first draw of a language's sample brings so many times what is needed, if all texts fill a piece.
+_DRAW = 4
+
+
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_letters: int = 48_000, piece: int = 2_000) -> Model:
+    """A model of all non-null values of ``lang``, each from ``sample_letters`` letter classes
+    of labelled text, or all that there are: a bounded sample. Distinct texts are drawn
+    from the smallest of their hashes on, so that copies weigh nothing; of a text longer
+    than ``piece`` characters that many are taken, from a place that its hash chooses."""
+    size = F.greatest(F.length("t") - piece, F.lit(0))
+    have = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & F.col("t").rlike(LETTER)).withColumn("h", F.xxhash64("t")).withColumn("unit", F.shiftrightunsigned("h", 11) / F.lit(2.0**53))
+    taken = F.substring("t", F.pmod(F.xxhash64("h"), size + 1).cast("int") + 1, F.lit(piece))
+    # One row for each language. Distinct texts count, not their copies; where they are short, a wider draw follows.
+    limits = {r["l"]: min(1.0, _DRAW * sample_letters / (r["n"] * piece)) for r in have.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    found: dict[str, bytes] = {}
+    while limits:
+        bound = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+        drawn = have.where(F.col("unit") <= F.coalesce(bound[F.col("l")], F.lit(-1.0))).groupBy("l", "unit", "h").agg(F.min(taken).alias("t"))
+        # Letters before a piece, in the order of the hashes: what is collected is bounded by the sample and a piece.
+        letters_of = F.length(F.regexp_replace("t", r"[^\p{L}]+", " "))
+        before = F.sum("n").over(W.partitionBy("l").orderBy("unit", "h").rowsBetween(W.unboundedPreceding, -1))
+        rows = written(drawn.withColumn("n", letters_of).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_letters), "language-sample").collect()
+        for l in {r["l"] for r in rows}:
+            raw, offs = buffer(pa.array([f" {r['t']}" for r in sorted((r for r in rows if r["l"] == l), key=lambda r: (r["unit"], r["h"]))], pa.string()))
+            found[l] = letters(raw, offs)[0][:sample_letters].tobytes()
+        limits = {l: min(1.0, 8 * x) for l, x in limits.items() if x < 1 and len(found.get(l, b"")) < sample_letters}
+    langs = sorted(found)
+    return Model(langs, [automaton(found[l]) for l in langs], [float(np.log2(len(found[l]) + 1)) for l in langs])
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]) -> DataFrame:
@@ -210,31 +197,40 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[st
     ``bits`` (the winner's bits for each letter class).
 
     Null texts and texts without a letter give ``und``, 0 and 0, and so does a model
-    that learned no language. Ties go to the first language by name. Repeated rows
-    are predicted each for itself; an empty table gives an empty result."""
+    that learned no language; letters are those of Unicode. Ties go to the first language
+    by name. Repeated rows are predicted each for itself; an empty table gives an empty
+    result. A carried column named like a result gives way to it."""
     handed = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"))
-    schema = T.StructType([f for f in inner.schema.fields if f.name != "t"]).add("lang_pred", "string").add("score", "double").add("bits", "double")
+    inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("t"), _has_letter(F.col(text)).alias("has"))
+    schema = T.StructType([f for f in inner.schema.fields if f.name not in ("t", "has")]).add("lang_pred", "string").add("score", "double").add("bits", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, s, rate = handed.value.predict(b.column("t"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(s), pa.array(rate)], names=[*b.schema.names[:-1], "lang_pred", "score", "bits"])
+            names, s, rate, _ = handed.value.predict(b.column("t"), np.asarray(b.column("has")))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(names, pa.string()), pa.array(s), pa.array(rate)], names=[*b.schema.names[:-2], "lang_pred", "score", "bits"])
 
-    return inner.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score", "bits")
+    results = ("lang_pred", "score", "bits")
+    return inner.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in results], *results)
 
 
-def accepted(docs: DataFrame, model: Model, *, text: str = "text", most_bits: float = 5.0, judged_letters: int = 200) -> DataFrame:
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(LETTER), F.lit(False))
+
+
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", most_bits: float = 5.0, spare_phrases: int = 2) -> DataFrame:
     """The rows of ``docs`` in a language that the model knows, all columns as they are, in
-    place. Rejected are texts that are null or have no letter, and texts of at
-    least ``judged_letters`` bytes that cost the winner more than ``most_bits`` for each
-    letter: no learned language explains them. A model without languages rejects all."""
+    place. Rejected are texts that are null or have no letter, and texts for which the
+    winner needs more bits than ``most_bits`` for each letter class and
+    ``spare_phrases`` phrases: no learned language explains them. A model without
+    languages rejects all."""
     handed, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    last = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, _, bits = handed.value.predict(b.column(place))
-            size = np.diff(buffer(b.column(place))[1])
-            yield b.filter(pa.array((np.array(names, dtype=object) != "und") & ((bits <= most_bits) | (size < judged_letters))))
+            has = np.asarray(b.column(last))
+            names, _, bits, phrase = handed.value.predict(b.column(place), has)
+            keep = (np.array(names, dtype=object) != "und") & (bits <= most_bits + spare_phrases * phrase)
+            yield pa.RecordBatch.from_arrays(b.columns[:last], names=b.schema.names[:last]).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select("*", _has_letter(F.col(text)).alias("__has_letter")).mapInArrow(run, docs.schema)
