@@ -361,12 +361,22 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
 
     Words are runs of bytes other than blank and \\x09 to \\x0D, A-Z lower-cased. Fewer
     than ``words`` words are one shingle; null texts and texts without words have an
-    empty set, which links with nothing. Repeated rows are linked with each other.
-    Null keys are never a component's id; a component of null keys alone has none. An
-    empty table gives an empty result. Other columns are not read.
+    empty set, which links with nothing. Rows are documents each for itself: a repeated key
+    does not link them. Null keys are never a component's id; a component of null keys
+    alone has none. An empty table gives an empty result. Other columns are not read.
     """
-    inner = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    schema = T.StructType([inner.schema["k"]]).add("node", "long").add("size", "long")
+    rows = grouped(docs, key, text, words, num, den)
+    least = rows.where("size > 0").groupBy("comp").agg(F.min("k").alias("least"))
+    full = rows.where("size > 0").join(least, "comp")
+    own = rows.where("size = 0").withColumn("least", F.col("k"))
+    return full.select("k", "size", "least").unionByName(own.select("k", "size", "least")).toDF(key, "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
+    """(k, h, size, comp) for each row of ``docs``: its key, the hash of its text, the size of
+    its set and the name of its component (of sets without shingles: none)."""
+    inner = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
+    schema = T.StructType([inner.schema["k"]]).add("h", "long").add("node", "long").add("size", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,36 +385,48 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
                 x, y = nodes(s, first)
                 node.append(x)
                 size.append(y)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size).astype(np.int64))], names=["k", "node", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size).astype(np.int64))], names=["k", "h", "node", "size"])
 
     rows = written(inner.mapInArrow(run, schema), "jaccard-rows")
-    full = rows.where("size > 0")
-    top = full.agg(F.max("size")).first()[0]
-    ids = full.groupBy("node").agg(F.min("k").alias("id"), F.max("size").alias("size"))
-    if top is None:
-        return rows.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.col("k").alias("component_id"))
-    edges = bands(top, num, den)
-    starts = [lo for lo, _ in edges]
+    sets = rows.where("size > 0").groupBy("node").agg(F.max("size").alias("size"))
+    top = rows.agg(F.max("size")).first()[0]
+    if not top:
+        return rows.select("k", "h", "size", F.lit(None).cast("long").alias("comp"))
+    starts = [lo for lo, _ in bands(top, num, den)]
     band = F.expr(f"size(filter(array({', '.join(map(str, starts))}), lo -> lo <= size)) - 1")
-    counts = {r.band: r.n for r in ids.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # one row for each band
+    counts = {r.band: r.n for r in sets.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}  # one row for each band
     comps = link_components(inner.select("t"), words, num, den, top, counts)
-    named = ids.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "comp").select("node", "component_id")
-    out = full.join(named, "node").select(F.col("k").alias(key), F.col("size").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("size = 0").select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.col("k").alias("component_id")))
+    out = rows.join(comps, "node", "left")
+    return out.select("k", "h", "size", F.when(F.col("size") > 0, F.coalesce("comp", "node")).alias("comp"))
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of ``docs`` for each group of linked documents, the one with the smallest
-    key, all columns as they are. Texts without words are alone and stay. Of rows
-    that repeat a key and are linked one stays, whichever; rows with a null key stay."""
-    found = written(classes(docs, key=key, text=text, words=words, num=num, den=den), "jaccard-classes")
-    name = "__kept_key"
-    while name in docs.columns:
-        name += "_"
-    kept = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(name)).agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
-    out = docs.join(kept.select(name), docs[key] == F.col(name), "left_semi")
-    if not kept.where("rows > 1 and n > 0").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.where(docs[key].isNull()))
+    """One row of ``docs`` for each group of linked documents, all columns as they are: the
+    one with the smallest key, null keys last; of several with that key the one whose text
+    has the smallest hash, and of equal texts under one key any one. Texts without words
+    are alone and stay. A repeated key does not link its rows."""
+    found = written(grouped(docs, key, text, words, num, den), "jaccard-classes")
+    row = F.struct(F.col("k").isNull().alias("none"), "k", "h")
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(row).alias("r"))
+    copies = found.where("comp is not null").groupBy("k", "h").agg(F.count("*").alias("rows"))
+    same = F.col("r.k").eqNullSafe(F.col("k")) & (F.col("r.h") == F.col("h"))
+    kept = written(first.join(copies, same).select("k", "h", "rows"), "jaccard-kept")
+    kept = kept.unionByName(found.where("comp is null").select("k", "h", F.lit(1).cast("long").alias("rows")).distinct())
+    names = _free(docs.columns, 3)
+    own = docs.withColumn(names[2], F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = kept.select(F.col("k").alias(names[0]), F.col("h").alias(names[1]), "rows")
+    on = F.col(names[0]).eqNullSafe(own[key]) & (F.col(names[1]) == F.col(names[2]))
+    out = own.join(kept.where("rows = 1"), on, "left_semi")
+    more = own.join(kept.where("rows > 1"), on, "left_semi")
+    return out.unionByName(more.dropDuplicates([key, names[2]])).select(*docs.columns)
+
+
+def _free(columns: list[str], n: int) -> list[str]:
+    """Names that are no column's."""
+    taken, out = {c.lower() for c in columns}, []
+    for i in range(n):
+        name = f"__jaccard_{i}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

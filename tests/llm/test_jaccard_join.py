@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join
 from tests.llm.helpers import documents, prose, words
@@ -21,7 +22,7 @@ def brute(rows, w, num, den):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and den * len(x & y) >= num * len(x | y) or sets[a][0] is not None and sets[a][0] == sets[b][0] and x and y:
+            if x and y and den * len(x & y) >= num * len(x | y):
                 parent[find(a)] = find(b)
     least: dict = {}
     for a, (i, _) in enumerate(sets):
@@ -73,6 +74,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, None], key=repr)
 
 
+def test_repeated_keys_lose_no_clean_row_and_keep_no_copy(spark):
+    """A key may stand on unlinked texts, on a copy of another key's text, on empty ones."""
+    rows = [(5, "one two three four five six", "en"), (5, "quite another text under this key", "en"), (3, "a b c d e f", "en"), (5, "a b c d e f", "en"), (7, "", "en"), (7, None, "en"), (7, " ", "en"), (7, "", "en"), (None, "a b c d e f", "en"), (None, "p q", "en"), (None, "p q", "en"), (None, "r s", "en")]
+    odd = documents(spark, rows=rows).withColumnRenamed("source", "k").withColumn("__jaccard_0", F.lit(1)).withColumnRenamed("n_chars", "comp")
+    kept = jaccard_join.representatives(odd)
+    assert kept.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, rows[0][1]), (5, rows[1][1]), (3, "a b c d e f"), (7, ""), (7, ""), (7, None), (7, " "), (None, "p q"), (None, "r s")], key=repr)
+    assert jaccard_join.representatives(documents(spark, rows=[])).count() == 0
+
+
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100)])
 def test_plans_are_worth_what_pairs_need(num, den):
     for n in (1, 1000, 10**9):

@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,78 @@ def test_languages_are_told_apart_and_odd_texts_are_und(spark):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
 
 
+def test_letters_are_those_of_unicode(spark):
+    """Every code point alone: ``und`` where Unicode calls it no letter."""
+    model = language_id.train(documents(spark, 40))
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    rows = spark.createDataFrame(list(enumerate(points)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(rows, model, carry=["doc_id"]).collect()}
+    # The JVM's Unicode is a little older than Python's: letters of later versions may differ.
+    odd = [c for i, c in enumerate(points) if (got[i] == "und") == c.isalpha()]
+    assert len(odd) < 0.05 * len(points) and not [c for c in odd if ord(c) < 0x800 or 0x3000 <= ord(c) < 0x3400 or 0xFF00 <= ord(c) < 0x10000]
+
+
+def test_samples_fill_from_short_texts_and_beside_many_copies(spark):
+    rng = random.Random(8)
+    short = [(i, prose(rng, "de", 3), "de") for i in range(6000)]
+    hot = [(10_000 + i, "the end of the page", "en") for i in range(20_000)] + [(40_000 + i, prose(rng, "en", 60), "en") for i in range(300)]
+    model = language_id.train(documents(spark, rows=short + hot), sample_letters=20_000)
+    assert model.langs == ["de", "en"] and all(abs(b - math.log2(20_001)) < 1e-9 for b in model.bits)
+
+
+def test_predictions_equal_the_definition(spark):
+    """Language, score and decision of the stage from phrases counted one by one."""
+    docs = documents(spark, 60)
+    model = language_id.train(docs)
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.choice(sorted(SYLLABLES)), rng.choice([1, 4, 40])), None) for i in range(60)] + [(100, "\u0431\u0443\u043a\u0432\u044b \u0438 \u0441\u043b\u043e\u0432\u0430", None), (101, "7 8", None), (102, None, None), (103, "the " * 40_000, None)]
+    table = documents(spark, rows=rows).withColumnRenamed("source", "score")
+    got = {r.doc_id: r for r in language_id.predict(table, model, carry=["doc_id", "score"]).collect()}
+    kept = {r.doc_id for r in language_id.accepted(table, model).collect()}
+    taught = [bytes(x) for x in _samples(docs)]
+    for i, t, _ in rows[:-1]:
+        c = language_id.letters(*language_id.buffer(pa.array([t], pa.string())))[0].tobytes()
+        if not any(x.isalpha() for x in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0) and i not in kept
+            continue
+        n = [greedy(s, c) for s in taught]
+        cost = [x * b / len(c) for x, b in zip(n, model.bits, strict=True)]
+        best = cost.index(min(cost))
+        assert got[i].lang_pred == model.langs[best]
+        assert abs(got[i].score - 1 / sum(2 ** -min(60, (x - cost[best]) * math.sqrt(len(c))) for x in cost)) < 1e-9
+        assert (i in kept) == (cost[best] * len(c) <= 5 * len(c) + 2 * model.bits[best])
+    assert 100 not in kept and got[103].lang_pred == "en"
+
+
+def _samples(docs):
+    """The samples that the automata were built of: their longest paths."""
+    for state, c, target, _ in language_id.train(docs).edges:
+        out: dict = {}
+        for s, x, t in zip(state.tolist(), c.tolist(), target.tolist(), strict=True):
+            out.setdefault(s, []).append((x, t))
+        yield _longest(out)
+
+
+def _longest(out):
+    best, order, seen = {}, [], set()
+    stack = [(0, False)]
+    while stack:
+        s, done = stack.pop()
+        if done:
+            order.append(s)
+        elif s not in seen:
+            seen.add(s)
+            stack.append((s, True))
+            stack += [(t, False) for _, t in out.get(s, []) if t not in seen]
+    for s in order:
+        best[s] = max(((best[t][0] + 1, x, t) for x, t in out.get(s, [])), default=(0, 0, 0))
+    s, text = 0, []
+    while best[s][0]:
+        _, x, s = best[s]
+        text.append(x)
+    return text
+
+
 def test_language_id_without_rows_or_languages(spark):
     empty = documents(spark, rows=[])
     assert language_id.predict(empty, language_id.train(empty), carry=["doc_id"]).count() == 0
@@ -90,6 +163,49 @@ def test_toxicity_learns_words_and_scores_all(spark):
     assert [r.score for r in toxicity.score(docs, empty, carry=["doc_id"]).limit(2).collect()] == [0.5, 0.5]
 
 
+def naive_features(t):
+    h, first = toxicity.word_hashes(*toxicity.buffer(pa.array([t])), toxicity._WORD)
+    return {int(x) for f, _ in toxicity.features(h, first) for x in f}
+
+
+def test_toxicity_equals_ftrl_by_the_definition(spark):
+    """A plain per-coordinate FTRL-proximal over dictionaries gives the same scores; long texts, ties and a repeated key among the rows."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, "en", rng.randint(1, 30)) + (" grumbag" if i % 4 == 0 else ""), "en") for i in range(160)]
+    rows += [(200, "the grumbag " * 9_000, "en"), (201, "b same", "en"), (201, "a same", "en"), (202, None, "en"), (203, "", "en")]
+    docs = documents(spark, rows=rows).withColumnRenamed("lang", "predicted").withColumnRenamed("source", "y")
+    marks = {i: int(i % 4 == 0) for i in range(160)} | {200: 1, 201: 0, 202: 0, 203: 0}
+    labels = spark.createDataFrame([*marks.items(), (201, None), (999, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, epochs=3, l1=0.5)
+    texts = {i: min(t or "" for j, t, _ in rows if j == i) for i in marks}
+    have = {i: naive_features(t) for i, t in texts.items()}
+    df = Counter(f for x in have.values() for f in x)
+    ids = sorted(texts)
+    total = [sum(marks.values()) + 1 if side else len(marks) - sum(marks.values()) for side in (0, 1)]
+    each = [max(1, total[1 - s] / total[s]) ** 0.5 * total[s] / sum(marks[i] == s for i in ids) for s in (0, 1)]
+    mean = sum(each[marks[i]] for i in ids) / len(ids)
+    z, g2 = Counter(), Counter()
+
+    def weight(f):
+        cut = 0 if f == "bias" else 0.5
+        return 0 if abs(z[f]) <= cut else -math.copysign(abs(z[f]) - cut, z[f]) / (1 + math.sqrt(g2[f]))
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for r in order.permutation(len(ids)):
+            mine = [f for f in have[ids[r]] if df[f] >= 4] + ["bias"]
+            w = {f: weight(f) for f in mine}
+            g = (1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - marks[ids[r]]) * each[marks[ids[r]]] / mean
+            for f in mine:
+                z[f] += g - (math.sqrt(g2[f] + g * g) - math.sqrt(g2[f])) * w[f]
+                g2[f] += g * g
+    got = {(r.doc_id, r.y): r.score for r in toxicity.score(docs, model, carry=["doc_id", "y", "predicted"]).collect()}
+    for i, t in texts.items():
+        if i != 201:
+            x = sum(weight(f) for f in naive_features(t) | {"bias"} if f in z)
+            assert abs(got[i, f"s{i % 3}"] - 1 / (1 + math.exp(-x))) < 1e-6
+
+
 def brute_base(rows, mod=10):
     c, docs = Counter(), []
     for i, t in rows:
