@@ -142,38 +142,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of what ``written`` has returned, once nothing reads it any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of all texts, from one narrow scan."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)
-
-
-class Lookup:
-    """64-bit keys to int64 values by open addressing, for vectors of keys at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(3 * len(keys)).bit_length())
-        self.mask = U64(size - 1)
-        self.keys, self.values = np.zeros(size, dtype=U64), np.full(size, -1, dtype=np.int64)
-        keys, values = keys.astype(U64), values.astype(np.int64)
-        at = (mix(keys) & self.mask).astype(np.int64)
-        while len(keys):
-            free = self.values[at] < 0
-            slot, one = np.unique(at[free], return_index=True)
-            put = np.flatnonzero(free)[one]
-            self.keys[slot], self.values[slot] = keys[put], values[put]
-            left = np.ones(len(keys), dtype=bool)
-            left[put] = False
-            keys, values, at = keys[left], values[left], (at[left] + 1) & (size - 1)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The values, which must be 0 or more; -1 for keys that are not held."""
-        at = (mix(keys.astype(U64)) & self.mask).astype(np.int64)
-        out = self.values[at]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
-        while len(open_):
-            at_open = (at[open_] + 1) & int(self.mask)
-            at[open_] = at_open
-            got = self.values[at_open]
-            out[open_] = got
-            open_ = open_[(got >= 0) & (self.keys[at_open] != keys[open_])]
-        return out

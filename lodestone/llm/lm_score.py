@@ -2,24 +2,27 @@
 
 Counts. Words and pairs are counted over the whole training part: each block of
 documents sends its distinct ones to count shards and gets the corpus counts back,
-in block-sized rows of packed numbers, so that a frequent word is one entry for a
-block, not a row for each occurrence. Triples follow where both their pairs repeat.
+in rows of packed numbers, so that a frequent word is one entry for a block, not a
+row for each occurrence. Triples follow where both their pairs repeat.
 
 Model. Every word is a symbol of its own, and every pair and triple that occurs
 ``LEAST`` times is an arc: absolute discounting, interpolated with the next shorter
-context. The failure arc of a context drops its oldest symbol, with the weight that
-makes its distribution sum to one. Arcs and failure weights are joined to the blocks
-by shards of their keys, so the model grows with the corpus and no process holds it.
-A word's own probability is its discounted share of all tokens; the mass that
-discounting leaves is that of unknown words, one event, as in the base model.
-
-A caller may bound the model instead (``frequent``, ``kept``). Then words with less than
-``frequent`` of all tokens share the symbol of rare words, n-grams need ``kept`` of all
-tokens, and the automaton is broadcast.
-
-Scoring. A text is traversed once from left to right; the state is what the last
-two words allow. Every document of a block is traversed in the same vector
-operations.
+context. Contexts of no, one and two words are states. The failure arc of a state drops
+its oldest word, with the weight that makes its distribution sum to one. Arcs and
+failure weights are joined to the blocks by shards of their keys, so the model grows
+with the corpus and no process holds it. A word's own probability is its discounted
+share of all tokens; the mass that discounting leaves is that of unknown words, one
+event, as in the base model.
+
+Scoring. Each block holds the arcs that its texts can meet. A text is traversed once
+from left to right: the state is carried from token to token, failure arcs are taken
+until an arc fits, and log-probabilities add up. All texts of a block are traversed
+side by side; a long one goes in parts, each of which comes into its state by the two
+tokens before it, since no state knows more than two.
+
+Words have 64-bit keys. The keys of pairs and triples have 20 bits more than the corpus
+has bytes (in bits), so that one of them shares its key with another one with a
+probability below 2**-20 at any size.
 """
 
 from __future__ import annotations
@@ -34,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, Lookup, buffer, chunks, mix, owner, text_bytes, word_hashes, written
+from lodestone.llm.common import U64, buffer, chunks, discard, mix, owner, text_bytes, word_hashes, written
 
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 8 << 20
+#: Tokens of a text that are traversed in one go.
+STRIDE = 256
 #: The end of a text, as a token.
 END = U64(0x6A09E667F3BCC909)
-_BITS = 20
 
 
 def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,225 +58,49 @@ def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, dtype=U64)), np.concatenate(first)
 
 
-@dataclass
-class Totals:
-    """Of the training tokens: all, distinct; of the rare ones: all, distinct, seen once, seen twice."""
-
-    n: int
-    v: int
-    rare_n: int
-    rare_v: int
-    once: int
-    twice: int
-
-    @property
-    def discount(self) -> float:
-        return self.once / (self.once + 2 * self.twice) if self.once and self.twice else 0.5
-
-
-def _shards(bits: int, block: int, u: np.ndarray, c: np.ndarray) -> pa.Table:
-    """A row for each shard that the sorted keys ``u`` touch; shards are ranges of keys."""
-    s = (u >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), dtype=np.int64)
-    ids = np.unique(s)
-    a, b = np.searchsorted(s, ids), np.searchsorted(s, ids, side="right")
-    return pa.table({"shard": pa.array(ids, pa.int64()), "block": pa.array(np.full(len(ids), block), pa.int64()), "keys": pa.array([u[i:j].tobytes() for i, j in zip(a, b, strict=True)], pa.binary()), "counts": pa.array([c[i:j].astype("<u4").tobytes() for i, j in zip(a, b, strict=True)], pa.binary())})
-
-
-def corpus_counts(blocks: DataFrame, n_blocks: int, frequent: float) -> DataFrame:
-    """``blocks``: (block, train, t). Rows (block, shard, counts): the corpus counts of the
-    block's distinct tokens, in the order of their hashes; and for each shard a row
-    without block: its totals, and its candidates for frequent words with their counts.
-    """
-    bits = max(0, (n_blocks - 1).bit_length())
-
-    def extract(group: pa.Table) -> pa.Table:
-        h, first = tokens(group["t"])
-        u, inverse = np.unique(h, return_inverse=True)
-        learned = np.asarray(group["train"])[owner(first)]
-        return _shards(bits, group["block"][0].as_py(), u, np.bincount(inverse[learned], minlength=len(u)))
-
-    def count(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, dtype=U64) for x in group["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, dtype="<u4") for x in group["counts"].to_pylist()])
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts, minlength=len(u)).astype(np.int64)
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        n = int(total.sum())
-        hot = np.flatnonzero((total >= frequent * n) & (total > 0))  # holds all that reach the share of the whole corpus
-        shard = group["shard"][0].as_py()
-        size = len(keys)
-        # How many words have each count of up to 2 is kept apart from the frequent ones later.
-        stats = [n, int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
-        return pa.table(
-            {
-                "block": pa.array([*group["block"].to_pylist(), None], pa.int64()),
-                "shard": pa.array([shard] * (size + 1), pa.int64()),
-                "counts": pa.array([*(x.astype("<u4").tobytes() for x in np.split(total[inverse], cuts)), total[hot].tobytes()], pa.binary()),
-                "keys": pa.array([*[None] * size, u[hot].tobytes()], pa.binary()),
-                "stats": pa.array([*[None] * size, stats], pa.list_(pa.int64())),
-            }
-        )
-
-    sent = blocks.groupBy("block").applyInArrow(extract, "shard long, block long, keys binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(count, "block long, shard long, counts binary, keys binary, stats array<long>")
-
-
-def frequent_words(counts: DataFrame, share: float) -> tuple[np.ndarray, Totals]:
-    """Hashes of the frequent words (at most 1 / share) in their order, and the totals."""
-    n = v = once = twice = 0
-    keys, seen = [], []
-    for r in counts.where("block is null").select("keys", "counts", "stats").toLocalIterator():  # one row for each shard
-        k, c = np.frombuffer(r["keys"], dtype=U64), np.frombuffer(r["counts"], dtype=np.int64)
-        n, v, once, twice = n + r["stats"][0], v + r["stats"][1], once + r["stats"][2], twice + r["stats"][3]
-        keys.append(k)
-        seen.append(c)
-    key, c = np.concatenate(keys or [np.zeros(0, dtype=U64)]), np.concatenate(seen or [np.zeros(0, dtype=np.int64)])
-    hot = c >= share * n if n else np.zeros(0, dtype=bool)
-    key, c = key[hot], c[hot]
-    order = np.argsort(key)
-    return key[order], Totals(n, v, n - int(c.sum()), v - len(key), once - int((c == 1).sum()), twice - int((c == 2).sum()))
-
-
 @dataclass
 class Automaton:
-    """Arcs by packed (context, symbol), failure arcs by packed context; log10 weights."""
-
-    words: np.ndarray
-    totals: Totals
-    first: np.ndarray
-    keys: list[np.ndarray]
-    arcs: list[np.ndarray]
-    states: list[np.ndarray]
-    failures: list[np.ndarray]
-
-    def __post_init__(self) -> None:
-        self._found: list[Lookup] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_found": None}
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        """0 is before a text's start; then the frequent words; then the rare ones' symbol."""
-        self._ready()
-        s = self._word(h)
-        return np.where(s < 0, len(self.words) + 1, s + 1)
-
-    def _ready(self) -> None:
-        if self._found is None:
-            self._word = Lookup(self.words, np.arange(len(self.words)))
-            self._found = [Lookup(k, np.arange(len(k))) for k in self.keys]
-            self._failed = [Lookup(k, np.arange(len(k))) for k in self.states]
-
-    def traverse(self, s: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its context."""
-        two, three = contexts(s, first)
-        out = self.first[s].copy()
-        for context, keys, arcs, failed, failures in zip((two, three), self._found, self.arcs, self._failed, self.failures, strict=True):
-            arc = keys((context << U64(_BITS)) | s.astype(U64))
-            fail = failed(context)
-            out += np.where(fail >= 0, failures[fail], 0.0) if len(failures) else 0.0
-            if len(arcs):
-                out = np.where(arc >= 0, arcs[arc], out)
+    """States from 0, the context of no word, which has an arc for each symbol. Arcs by
+    sorted key (state * symbols + symbol); weights are log10."""
+
+    symbols: int
+    keys: np.ndarray
+    targets: np.ndarray
+    weights: np.ndarray
+    failures: np.ndarray
+    failure_weights: np.ndarray
+
+    def traverse(self, s: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+        """log10 probability of each symbol of the texts that begin at ``first``, in state ``start``."""
+        size = np.diff(first)
+        parts = -(-size // STRIDE)
+        text = np.repeat(np.arange(len(size)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = first[text] + nth * STRIDE
+        lead = np.where(nth > 0, 2, 0)  # tokens that only lead into the state
+        size = np.minimum(STRIDE, first[text + 1] - begin) + lead
+        begin = begin - lead
+        order = np.argsort(-size, kind="stable")
+        begin, size, lead = begin[order], size[order], lead[order]
+        state = np.where(lead > 0, 0, start)
+        out = np.zeros(len(s))
+        for step in range(int(size[0]) if len(size) else 0):
+            k = int(np.searchsorted(-size, -step, side="left"))
+            at = begin[:k] + step
+            now, value, open_ = s[at], np.zeros(k), np.arange(k)
+            while len(open_):
+                here = state[open_]
+                key = here * self.symbols + now[open_]
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                fits = self.keys[arc] == key
+                state[open_] = np.where(fits, self.targets[arc], self.failures[here])
+                value[open_] += np.where(fits, self.weights[arc], self.failure_weights[here])
+                open_ = open_[~fits]
+            told = lead[:k] <= step
+            out[at[told]] = value[told]
         return out
 
 
-def contexts(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed contexts of one and of two symbols before each symbol."""
-    at = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
-    one, two = np.zeros(len(s), dtype=U64), np.zeros(len(s), dtype=U64)
-    one[1:] = s[:-1]
-    one[at < 1] = 0
-    two[2:] = s[:-2]
-    two[at < 2] = 0
-    return one, (two << U64(_BITS)) | one
-
-
-def symbol_ngrams(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(ngram, n): counts of all symbol trigrams of ``docs`` (a column t)."""
-    handed = docs.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches):
-        auto = Automaton(handed.value, Totals(0, 0, 0, 0, 0, 0), np.zeros(0), [], [], [], [])
-        keys, counts = [], []
-        for b in batches:
-            h, first = tokens(b.column("t"))
-            for lo in range(0, len(first) - 1, 2048):
-                f = first[lo : lo + 2049]
-                s = auto.symbols(h[f[0] : f[-1]])
-                k, n = np.unique((contexts(s, f - f[0])[1] << U64(_BITS)) | s.astype(U64), return_counts=True)
-                keys.append(k)
-                counts.append(n)
-            if sum(map(len, keys)) > 2_000_000:
-                keys, counts = _merged(keys, counts)
-        keys, counts = _merged(keys, counts)
-        for k, n in zip(keys, counts, strict=True):
-            for a in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["ngram", "n"])
-
-    return docs.mapInArrow(run, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    if not keys:
-        return [], []
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return [u], [np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.int64)]
-
-
-def automaton(ngrams: DataFrame, words: np.ndarray, totals: Totals, kept: float) -> Automaton:
-    """Arcs of the n-grams that reach the share ``kept`` of all tokens, and at least two
-    occurrences; what they leave out goes into the failure weights."""
-    size, low = len(words) + 2, F.lit((1 << _BITS) - 1)
-    least = max(2, int(np.ceil(kept * totals.n)))
-    twos = ngrams.groupBy(F.col("ngram").bitwiseAND((1 << 2 * _BITS) - 1).alias("ngram")).agg(F.sum("n").alias("n"))
-    ones = np.zeros(size)
-    for r in twos.groupBy(F.col("ngram").bitwiseAND(low).alias("s")).agg(F.sum("n").alias("n")).collect():  # one row for each symbol
-        ones[r.s] = r.n
-    ones[size - 1] += 0.5  # a rare word is never impossible
-    with np.errstate(divide="ignore"):
-        lower = np.log10(ones / ones.sum())
-    auto = Automaton(words, totals, lower, [], [], [], [])
-    for order, table in ((2, twos), (3, ngrams)):
-        few = table.agg(F.sum((F.col("n") == 1).cast("long")).alias("a"), F.sum((F.col("n") == 2).cast("long")).alias("b")).first()
-        discount = few.a / (few.a + 2 * few.b) if few.a and few.b else 0.5
-        mine = table.withColumn("context", F.shiftright("ngram", _BITS))
-        # Contexts without an arc need no total: an arc's count is part of its context's.
-        total = mine.groupBy("context").agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= least)
-        got = mine.where(F.col("n") >= least).join(total, "context").select("ngram", "n", "total").toArrow()  # at most 1 / kept rows
-        key = np.asarray(got["ngram"]).astype(np.int64).view(U64)
-        by = np.argsort(key)
-        key = key[by]
-        share = (np.asarray(got["n"]).astype(float)[by] - discount) / np.asarray(got["total"]).astype(float)[by]
-        s, context = (key & U64((1 << _BITS) - 1)).astype(np.int64), key >> U64(_BITS)
-        below = auto.lower(s, context) if order == 3 else lower[s]
-        states, begin = np.unique(context, return_index=True)
-        held = np.add.reduceat(share, begin) if len(begin) else np.zeros(0)
-        back = 10**below
-        p = share + (1 - np.repeat(held, np.diff(np.append(begin, len(key))))) * back
-        explicit = np.add.reduceat(p, begin) if len(begin) else np.zeros(0)
-        rest = np.add.reduceat(back, begin) if len(begin) else np.zeros(0)
-        auto.keys.append(key)
-        auto.arcs.append(np.log10(p))
-        auto.states.append(states)
-        auto.failures.append(np.log10(np.maximum(1 - explicit, 1e-12) / np.maximum(1 - rest, 1e-12)))
-        auto._found = None
-    return auto
-
-
-def _lower(self: Automaton, s: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log10 probability of ``s`` after the last symbol of ``context``, from the arcs so far."""
-    self._found = None
-    self._ready()
-    one = context & U64((1 << _BITS) - 1)
-    fail = self._failed[0](one)
-    out = self.first[s] + (np.where(fail >= 0, self.failures[0][fail], 0.0) if len(self.failures[0]) else 0.0)
-    arc = self._found[0]((one << U64(_BITS)) | s.astype(U64))
-    return np.where(arc >= 0, self.arcs[0][arc], out) if len(self.arcs[0]) else out
-
-
-Automaton.lower = _lower
-
-
 #: An n-gram is an arc from so many occurrences on, whatever the size of the corpus.
 LEAST = 2
 #: Kinds of sharded rows: words, pairs, triples, contexts of one and of two words; 0 has a block's share of single triples.
@@ -283,22 +111,49 @@ SENT = "kind int, shard long, block long, keys binary, a binary, b binary, stats
 def packed(x: np.ndarray) -> bytes:
     """Whole numbers of 0 or more in the least width that holds them, byte planes apart."""
     top = int(x.max()) if len(x) else 0
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
-    return bytes([width]) + np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    width = -(-top.bit_length() // 8)
+    head = bytes([width]) + len(x).to_bytes(8, "little")
+    return head + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    width = x[0]
-    planes = np.frombuffer(x, dtype=np.uint8, offset=1).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(U64)
+    width, n = x[0], int.from_bytes(x[1:9], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if width:
+        out[:, :width] = np.frombuffer(x, dtype=np.uint8, offset=9).reshape(width, n).T
+    return out.view("<u8").ravel()
+
 
+def ascending(x: np.ndarray) -> bytes:
+    """``packed`` for sorted numbers: the first and the steps from each to the next."""
+    return int(x[0]).to_bytes(8, "little") + packed(np.diff(x))
 
-def _sent(bits: int, kind: int, block: int | None, u: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    """A row for each shard that the sorted keys ``u`` touch; shards are ranges of keys."""
-    s = (u >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), dtype=np.int64)
-    ids = np.unique(s)
-    lo, hi = np.searchsorted(s, ids), np.searchsorted(s, ids, side="right")
-    return [(kind, int(k), block, packed(u[i:j]), packed(a[i:j]), packed(b[i:j]), None) for k, i, j in zip(ids, lo, hi, strict=True)]
+
+def ascended(x: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate(([U64(int.from_bytes(x[:8], "little"))], unpacked(x[8:]))), dtype=U64)
+
+
+@dataclass
+class Keys:
+    """Bits of the shard number, and of the keys of words and of longer n-grams."""
+
+    shard: int
+    gram: int
+    word: int = 64
+
+    def of(self, kind: int) -> int:
+        return self.word if kind in (WORDS, AFTER_ONE) else self.gram
+
+    def follow(self, context: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The key of a context and the word after it."""
+        return mix(context * U64(0x9E3779B97F4A7C15) + h) >> U64(64 - self.gram)
+
+    def sent(self, kind: int, block: int | None, u: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        """A row for each shard that the sorted keys ``u`` touch; shards are ranges of keys."""
+        s = (u >> U64(self.of(kind) - self.shard)).astype(np.int64) if self.shard else np.zeros(len(u), dtype=np.int64)
+        ids = np.unique(s)
+        lo, hi = np.searchsorted(s, ids), np.searchsorted(s, ids, side="right")
+        return [(kind, int(k), block, ascending(u[i:j]), packed(a[i:j]), packed(b[i:j]), None) for k, i, j in zip(ids, lo, hi, strict=True)]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -306,35 +161,53 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(types.items())})
 
 
-def _follow(context: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The key of a context and the word after it."""
-    return mix(context * U64(0x9E3779B97F4A7C15) + h)
-
-
 class Grams:
     """The tokens of a block with its distinct words and pairs. A text starts in the
     context of the end of another one, so that contexts count as often as they are followed."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray):
-        self.h, self.first = tokens(texts)
-        self.later = np.ones(len(self.h), dtype=bool)  # has two words before it, the start counted
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, keys: Keys):
+        h, self.first = tokens(texts)
+        self.follow = keys.follow
+        self.later = np.ones(len(h), dtype=bool)  # has two words before it, the start counted
         self.later[self.first[:-1]] = False
-        self.words, self.word = np.unique(self.h, return_inverse=True)
-        self.before = np.concatenate((np.searchsorted(self.words, [END]), self.word[:-1]))
-        two = _follow(self.words[self.before], self.h)
-        self.pairs, self.example, self.pair = np.unique(two, return_index=True, return_inverse=True)
+        self.words, self.word = np.unique(h, return_inverse=True)
+        self.end = int(np.searchsorted(self.words, [END])[0])
+        self.before = np.concatenate(([self.end], self.word[:-1]))
+        self.pairs, self.example, self.pair = np.unique(keys.follow(self.words[self.before], h), return_index=True, return_inverse=True)
 
     def triples(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the triples whose two pairs both repeat (``n``: the pairs' counts), as every
-        triple that repeats has them: places, distinct keys, their contexts, and each place's key."""
+        triple that repeats has them: places, distinct keys, a place of each key, and each place's key."""
         repeats = n[self.pair] >= LEAST
         at = np.flatnonzero(self.later[1:] & repeats[1:] & repeats[:-1]) + 1
-        context = self.pairs[self.pair[at - 1]]
-        u, example, inverse = np.unique(_follow(context, self.h[at]), return_index=True, return_inverse=True)
-        return at, u, context[example], inverse
-
-
-def tallied(sent: DataFrame, bits: int) -> DataFrame:
+        u, example, inverse = np.unique(self.follow(self.pairs[self.pair[at - 1]], self.words[self.word[at]]), return_index=True, return_inverse=True)
+        return at, u, at[example], inverse
+
+    def automaton(self, have: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int, d1: float, d2: float, d3: float) -> tuple[Automaton, int]:
+        """The states and arcs that the block's texts can meet, and the state of a text's start."""
+        c, pairs, w, m = have[WORDS][0], have[PAIRS][0], len(self.words), len(self.pairs)
+        _, _, e, _ = self.triples(pairs)
+        triples = have[TRIPLES][0]
+        one = np.where(c > 0, c - d1, d1 * v) / n if n else np.ones(w)
+        state = np.where(c >= LEAST, np.arange(w) + 1, 0)
+        left_one, left_two = _rest(c, have[AFTER_ONE], d2), _rest(pairs, have[AFTER_TWO], d3)
+        old, new = self.before[self.example], self.word[self.example]
+        two = np.where(pairs >= LEAST, pairs - d2, 0) / np.maximum(c[old], 1) + left_one[old] * one[new]
+        arc_two = np.flatnonzero(pairs >= LEAST)
+        often = triples >= LEAST
+        e, triples = e[often], triples[often]
+        context, pair = self.pair[e - 1], self.pair[e]
+        three = (triples - d3) / pairs[context] + left_two[context] * two[pair]
+        keys = np.concatenate((np.arange(w), (old[arc_two] + 1) * w + new[arc_two], (context + 1 + w) * w + self.word[e]))
+        targets = np.concatenate((state, arc_two + 1 + w, pair + 1 + w))
+        weights = np.log10(np.concatenate((one, two[arc_two], three)))
+        by = np.argsort(keys)
+        failures = np.concatenate((np.zeros(w + 1, dtype=np.int64), state[new]))
+        failure_weights = np.log10(np.concatenate(([1.0], left_one, left_two)))
+        return Automaton(w, keys[by], targets[by], weights[by], failures, failure_weights), int(state[self.end])
+
+
+def tallied(sent: DataFrame, by: Keys) -> DataFrame:
     """Sums of ``a`` and ``b`` by key, shard by shard: a row back for each row with a block, in
     the order of its keys, and for each shard a row of totals (all, distinct, once,
     twice). Of pairs, ``b`` marks one of the rows that sent a key. Triples also give their
@@ -342,7 +215,7 @@ def tallied(sent: DataFrame, bits: int) -> DataFrame:
 
     def count(group: pa.Table) -> pa.Table:
         kind, shard = group["kind"][0].as_py(), group["shard"][0].as_py()
-        keys = [unpacked(x) for x in group["keys"].to_pylist()]
+        keys = [ascended(x) for x in group["keys"].to_pylist()]
         a, b = (np.concatenate([unpacked(x) for x in group[c].to_pylist()]) for c in ("a", "b"))
         u, example, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = _sums(inverse, a, len(u))
@@ -357,7 +230,7 @@ def tallied(sent: DataFrame, bits: int) -> DataFrame:
         if kind == TRIPLES:
             kept = sums >= LEAST
             context, i = np.unique(b[example[kept]], return_inverse=True)
-            out += _sent(bits, AFTER_TWO, None, context, _sums(i, sums[kept], len(context)), np.bincount(i, minlength=len(context)))
+            out += by.sent(AFTER_TWO, None, context, _sums(i, sums[kept], len(context)), np.bincount(i, minlength=len(context)))
         stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
         return _table([*out, (kind, shard, None, None, None, None, stats)])
 
@@ -392,67 +265,61 @@ def _discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def _whole(inner: DataFrame, ids: list[str], n_blocks: int) -> DataFrame:
-    """Scores by all n-grams of the corpus that repeat, each word a symbol of its own. The
-    blocks send their distinct words and pairs to shards and get the corpus counts
+def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
+    """The blocks send their distinct words and pairs to shards and get the corpus counts
     back, then the triples that may repeat and the contexts; nothing is broadcast but totals."""
-    bits = max(0, (n_blocks - 1).bit_length())
+    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    by = Keys((n_blocks - 1).bit_length(), min(64, max(1, n_bytes).bit_length() + 20))
+    inner = inner.withColumn("block", F.pmod(F.xxhash64("t", *ids), F.lit(n_blocks)).cast("long"))
 
     def learned(left: pa.Table, g: Grams) -> np.ndarray:
         return np.asarray(left["train"])[owner(g.first)]
 
     def first_round(left: pa.Table) -> pa.Table:
-        g, block = Grams(left["t"]), left["block"][0].as_py()
+        g, block = Grams(left["t"], by), left["block"][0].as_py()
         taught = learned(left, g)
         rows = []
         for kind, u, i in ((WORDS, g.words, g.word), (PAIRS, g.pairs, g.pair)):
-            rows += _sent(bits, kind, block, u, np.bincount(i[taught], minlength=len(u)), np.zeros(len(u), dtype=np.int64))
+            rows += by.sent(kind, block, u, np.bincount(i[taught], minlength=len(u)), np.zeros(len(u), dtype=np.int64))
         return _table(rows)
 
     def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, block, have = Grams(left["t"]), left["block"][0].as_py(), _answers(right)
+        g, block, have = Grams(left["t"], by), left["block"][0].as_py(), _answers(right)
         taught, c, (n, mine) = learned(left, g), have[WORDS][0], have[PAIRS]
-        at, u, context, i = g.triples(n)
-        rows = _sent(bits, TRIPLES, block, u, np.bincount(i[taught[at]], minlength=len(u)), context)
+        at, u, example, i = g.triples(n)
+        rows = by.sent(TRIPLES, block, u, np.bincount(i[taught[at]], minlength=len(u)), g.pairs[g.pair[example - 1]])
         mine = (mine > 0) & (n >= LEAST)
         after, often = g.before[g.example[mine]], c >= LEAST
-        rows += _sent(bits, AFTER_ONE, block, g.words[often], _sums(after, n[mine], len(c))[often], np.bincount(after, minlength=len(c))[often])
+        rows += by.sent(AFTER_ONE, block, g.words[often], _sums(after, n[mine], len(c))[often], np.bincount(after, minlength=len(c))[often])
         none = np.zeros(int((n >= LEAST).sum()), dtype=np.int64)
-        rows += _sent(bits, AFTER_TWO, block, g.pairs[n >= LEAST], none, none)
+        rows += by.sent(AFTER_TWO, block, g.pairs[n >= LEAST], none, none)
         # A triple with a pair that occurs once occurs once.
         single = int((g.later & taught).sum() - taught[at].sum())
         return _table([*rows, (0, 0, None, None, None, None, [single, single, single, 0])])
 
     blocks = inner.select("block", "train", "t").groupBy("block")
-    counts = _step(tallied(blocks.applyInArrow(first_round, SENT), bits), "lm-counts")
-    back = counts.where("block is not null")
+    counts = _step(tallied(blocks.applyInArrow(first_round, SENT), by), "lm-counts")
+    back = counts.where("block is not null").select("kind", "block", "shard", "a", "b")
     sent = _step(blocks.cogroup(back.groupBy("block")).applyInArrow(second_round, SENT), "lm-sent")
-    more = _step(tallied(sent.where(F.col("kind").isin(TRIPLES, AFTER_ONE)), bits), "lm-triples")
+    more = _step(tallied(sent.where(F.col("kind").isin(TRIPLES, AFTER_ONE)), by), "lm-triples")
     part = more.where("block is null and keys is not null")
-    last = _step(tallied(sent.where(F.col("kind") == AFTER_TWO).unionByName(part), bits), "lm-contexts")
+    last = _step(tallied(sent.where(F.col("kind") == AFTER_TWO).unionByName(part), by), "lm-contexts")
     total = {k: np.zeros(4, dtype=np.int64) for k in (WORDS, PAIRS, TRIPLES)}
     stats = counts.unionByName(more).unionByName(sent).where("stats is not null")
     for r in stats.groupBy("kind").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4)]).collect():  # one row for each kind
         kind = r[0] or TRIPLES
         if kind in total:
             total[kind] += np.array(r[1:], dtype=np.int64)
+    discard(sent)
     n, v = (int(x) for x in total[WORDS][:2])
     d1, d2, d3 = (_discount(int(x[2]), int(x[3])) for x in total.values())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, have = Grams(left["t"]), _answers(right)
-        c, pairs = have[WORDS][0], have[PAIRS][0]
+        g, have = Grams(left["t"], by), _answers(right)
+        c = have[WORDS][0]
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        p = (np.where(c > 0, c - d1, d1 * v) / n)[g.word] if n else np.ones(len(g.h))
-        held = _rest(c, have[AFTER_ONE], d2)[g.before]
-        share = np.where(pairs >= LEAST, pairs - d2, 0)[g.pair] / np.maximum(c[g.before], 1)
-        p = share + held * p
-        at, _, _, i = g.triples(pairs)
-        share = np.zeros(len(p))
-        share[at] = np.where(have[TRIPLES][0] >= LEAST, have[TRIPLES][0] - d3, 0)[i] / pairs[g.pair[at - 1]]
-        held = np.ones(len(p))
-        held[1:] = np.where(g.later[1:], _rest(pairs, have[AFTER_TWO], d3)[g.pair[:-1]], 1)
-        p = np.log10(share + held * p)
+        arcs, start = g.automaton(have, n, v, d1, d2, d3)
+        p = arcs.traverse(g.word, g.first, start)
         doc, size = owner(g.first), len(g.first) - 1
         arrays = {x: left[x] for x in ids}
         arrays["n_tokens"] = pa.array(np.diff(g.first), pa.int64())
@@ -477,58 +344,18 @@ def _scored(inner: DataFrame, ids: list[str]) -> T.StructType:
     return T.StructType([inner.schema[c] for c in ids]).add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
 
-def score(docs: DataFrame, train: Column, *, text: str = "text", carry: list[str], frequent: float | None = None, kept: float = 1e-6) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, text: str = "text", carry: list[str]) -> DataFrame:
     """The columns ``carry`` of each row, then ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (the add-0.1 unigram's log10 probability) and ``score`` (the
     automaton's). The model learns from all rows where ``train`` is true.
 
-    Every word is a symbol and every n-gram that occurs ``LEAST`` times an arc. Only where
-    ``frequent`` is given are symbols and arcs bounded by these shares of all tokens, so that
-    one automaton is broadcast.
-
     Null and empty texts are the end token alone. Repeated rows count, and are scored,
     each for itself. Without training rows every token is unknown: the base score
-    is 0 for each, and so is the score. An empty table gives an empty result. Other
-    columns of ``docs`` are not read, so their names cannot clash.
+    is 0 for each, and so is the score. An empty table gives an empty result. A carried
+    column named like a result gives way to it; other columns of ``docs`` are not read.
     """
-    n_blocks = max(1, -(-text_bytes(docs, text) // BLOCK_BYTES))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(train, F.lit(False)).alias("train"), body.alias("t"))
-    ids = [f"c{i}" for i in range(len(carry))]
-    inner = inner.withColumn("block", F.pmod(F.xxhash64("t", *ids), F.lit(n_blocks)).cast("long"))
-    names = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    if frequent is None:
-        return _whole(inner, ids, n_blocks).select(*names)
-    counts = written(corpus_counts(inner.select("block", "train", "t"), n_blocks, frequent), "lm-counts")
-    words, totals = frequent_words(counts, frequent)
-    ngrams = written(symbol_ngrams(inner.where("train").select("t"), words), "lm-ngrams")
-    auto = automaton(ngrams, words, totals, kept)
-    handed = docs.sparkSession.sparkContext.broadcast(auto)
-    schema = _scored(inner, ids)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = handed.value
-        h, first = tokens(left["t"])
-        u, inverse = np.unique(h, return_inverse=True)
-        by = np.argsort(np.asarray(right["shard"]))
-        found = right["counts"].to_pylist()
-        c = np.concatenate([np.frombuffer(found[i], dtype="<u4") for i in by]) if len(u) else np.zeros(0)
-        base = np.log10((c + 0.1) / (m.totals.n + 0.1 * (m.totals.v + 1)))
-        s = m.symbols(h)
-        p = m.traverse(s, first)
-        if m.totals.rare_n:
-            d = m.totals.discount
-            inside = np.log10(np.where(c > 0, np.maximum(c - d, 1e-9), d * m.totals.rare_v) / m.totals.rare_n)
-            p += np.where(s == len(m.words) + 1, inside[inverse], 0.0)
-        doc, n = owner(first), len(first) - 1
-        arrays = {x: left[x] for x in ids}
-        arrays["n_tokens"] = pa.array(np.diff(first), pa.int64())
-        arrays["n_known"] = pa.array(np.bincount(doc, c[inverse] > 0, minlength=n).astype(np.int64))
-        arrays["train_tokens"] = pa.array(np.full(n, m.totals.n), pa.int64())
-        arrays["base_score"] = pa.array(np.bincount(doc, base[inverse], minlength=n))
-        arrays["score"] = pa.array(np.bincount(doc, p, minlength=n))
-        return pa.table(arrays)
-
-    answers = counts.where("block is not null").select("block", "shard", "counts")
-    out = inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-    return out.select(*names)
+    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in results]
+    return _whole(inner, [f"c{i}" for i in range(len(carry))], text_bytes(docs, text)).select(*names, *results)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from lodestone.llm.common import CHUNK, Lookup, buffer, chunks, spans, WHITE, word_hashes
+from lodestone.llm.common import CHUNK, buffer, chunks, spans, WHITE, word_hashes
 from tests.llm.helpers import words
 
 
@@ -40,12 +40,3 @@ def test_spans_stop_at_documents():
     raw, offs = buffer(pa.array(["ab", "cd", "", " e"]))
     s, e, first = spans(~WHITE[raw], offs)
     assert list(zip(s, e)) == [(0, 2), (2, 4), (5, 6)] and list(first) == [0, 1, 2, 2, 3]
-
-
-def test_lookup_finds_all_and_nothing_else():
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
-    found = Lookup(keys, np.arange(len(keys)))
-    assert (found(keys) == np.arange(len(keys))).all()
-    assert (found(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
-    assert (Lookup(keys[:0], np.zeros(0))(keys) == -1).all()

@@ -268,24 +268,50 @@ def test_scores_equal_brute_force_whatever_the_size_of_the_corpus(spark, monkeyp
     assert sorted((repr(r.doc_id), round(r.score, 6)) for r in got.collect()) == brute_score([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_automaton_is_a_distribution_and_beats_the_base(spark):
+def test_traversal_is_a_distribution_and_carries_its_state():
+    """Brute force over the arcs: in each state the known words and the unknown one sum to one,
+    and a long text in parts scores like the walk through one state after the other."""
     rng = random.Random(5)
-    docs = documents(spark, rows=[(i, " ".join(rng.choice(["a b c", "d e f", "x"]) for _ in range(40)), "en") for i in range(80)]).select(F.col("text").alias("t"))
-    words_ = np.sort(lm_score.word_hashes(*lm_score.buffer(pa.array(["a b c d e f"])))[0])
-    n = 80 * 41 * 3
-    totals = lm_score.Totals(n, 8, 1, 1, 0, 0)
-    auto = lm_score.automaton(lm_score.symbol_ngrams(docs, words_), words_, totals, 1e-9)
-    auto._ready()
-    size = len(words_) + 2
-    for context in ([], [1], [2, 3], [5, 1], [size - 1, 2]):
+    texts = pa.array([" ".join(rng.choice(["a b c", "d e f", "x"]) for _ in range(n)) for n in (1, 3, 40, 700, 300)] + ["", "new"])
+    g = lm_score.Grams(texts, lm_score.Keys(0, 60))
+    n = len(g.word)
+    c, pairs = np.bincount(g.word), np.bincount(g.pair)
+    at, u, e, i = g.triples(pairs)
+    triples = np.bincount(i, minlength=len(u))
+    c[np.searchsorted(g.words, lm_score.tokens(pa.array(["new"]))[0][:1])] = 0  # as if held out
+
+    def after(counts, context, contexts):
+        kept, some = counts >= 2, contexts >= 2
+        return tuple(np.bincount(context[kept], x, minlength=len(some)).astype(int)[some] for x in (counts[kept], np.ones(kept.sum())))
+
+    have = {1: (c, c), 2: (pairs, pairs), 3: (triples, triples), 4: after(pairs, g.before[g.example], c), 5: after(triples, g.pair[e - 1], pairs)}
+    auto, start = g.automaton(have, n - 1, len(c) - 1, 0.5, 0.4, 0.3)
+    arcs = {int(k): (int(t), float(w)) for k, t, w in zip(auto.keys, auto.targets, auto.weights, strict=True)}
+
+    def step(state, word):
         total = 0.0
-        for s in range(1, size):
-            seq = np.array([*context, s])
-            total += 10 ** auto.traverse(seq, np.array([0, len(seq)]))[-1]
-        assert abs(total - 1) < 1e-6
-    full = documents(spark, rows=[(i, " ".join(rng.choice(["a b c", "d e f", "x"]) for _ in range(40)), "en") for i in range(80)]).withColumn("h", fold(F.col("doc_id"), 10) == 0)
-    got = lm_score.score(full, ~F.col("h"), carry=["doc_id", "h"], frequent=1e-3).collect()
-    assert all(r.score > r.base_score for r in got)
+        while (k := state * auto.symbols + word) not in arcs:
+            total += auto.failure_weights[state]
+            state = int(auto.failures[state])
+        return arcs[k][0], total + arcs[k][1]
+
+    for state in {0, start, *auto.targets.tolist()}:
+        assert abs(sum(10 ** step(state, w)[1] for w in range(len(c))) - 1) < 1e-6
+    want = []
+    for a, z in zip(g.first[:-1], g.first[1:], strict=True):
+        state = start
+        for w in g.word[a:z]:
+            state, p = step(state, int(w))
+            want.append(p)
+    assert np.allclose(auto.traverse(g.word, g.first, start), want)
+
+
+@pytest.mark.parametrize("x", [[], [0], [0, 0, 0], [5, 300, 2**40], [2**64 - 1, 0]])
+def test_packed_numbers_come_back(x):
+    x = np.array(x, dtype=np.uint64)
+    assert (lm_score.unpacked(lm_score.packed(x)) == x).all()
+    if len(x):
+        assert (lm_score.ascended(lm_score.ascending(np.sort(x))) == np.sort(x)).all()
 
 
 def test_quality_model_is_a_distribution_and_judges_by_language(spark):
