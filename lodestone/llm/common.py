@@ -31,6 +31,8 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 1 << 20
+#: Bytes of an Arrow batch, and Spark's own default.
+BATCH_BYTES, _DEFAULT_BATCH = 4 << 20, "67108864b"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -134,6 +136,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose Arrow batches have a few MB from now on, where the session has not set
+    them: what a worker and its JVM hold must not depend on the length of texts."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here and any executor can read it again."""
     spark = df.sparkSession

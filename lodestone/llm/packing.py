@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, U64, WHITE, buffer, chunks, hashes, spans
+from lodestone.llm.common import LOWER, U64, WHITE, buffer, chunks, hashes, small_batches, spans
 
 CAPACITY = 4096
 TAIL = 64
@@ -272,4 +272,4 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
         if bins.done:
             yield out()
 
-    return inner.mapInArrow(run, schema).withColumnRenamed("k", key)
+    return small_batches(inner).mapInArrow(run, schema).withColumnRenamed("k", key)

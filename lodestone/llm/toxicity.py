@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, mix, owner, word_hashes, written
+from lodestone.llm.common import U64, buffer, chunks, mix, owner, small_batches, word_hashes, written
 
+#: Features that a task sums before it sends them, about.
+_HELD = 2_000_000
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -106,19 +108,42 @@ def present(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def frequent(sample: DataFrame, min_df: int, max_features: int) -> np.ndarray:
-    """Sorted hashes of the features that ``min_df`` texts (a column t) have; the most frequent ``max_features`` at most."""
+    """Sorted hashes of the features that ``min_df`` texts (a column t) have; the most frequent
+    ``max_features`` at most. Tasks sum what they have read, then shards of the hashes do."""
+
+    def sent(u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        cuts = np.searchsorted(u >> U64(58), np.arange(1, 64, dtype=U64))
+        columns = [pa.array(np.arange(64)), *(pa.array([x.tobytes() for x in np.split(c, cuts)], pa.binary()) for c in (u, n.astype("<i4")))]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "f", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
         for b in batches:
             for _, _, f, _ in present(b.column("t")):
-                u, n = np.unique(f, return_counts=True)
-                for a in range(0, len(u), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000])], names=["f", "n"])
-
-    df = sample.select("t").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= min_df)
+                keys.append(f)
+                counts.append(np.ones(len(f), dtype=np.int64))
+                if sum(map(len, keys)) > _HELD:
+                    u, n = summed(keys, counts)
+                    if len(u) > _HELD // 2:
+                        yield sent(u, n)
+                        u, n = u[:0], n[:0]
+                    keys, counts = [u], [n]
+        yield sent(*summed(keys, counts))
+
+    def count(group: pa.Table) -> pa.Table:
+        u, n = summed([np.frombuffer(x, dtype=U64) for x in group["f"].to_pylist()], [np.frombuffer(x, dtype="<i4") for x in group["n"].to_pylist()])
+        return pa.table({"f": pa.array(u[n >= min_df].view(np.int64)), "n": pa.array(n[n >= min_df])})
+
+    df = small_batches(sample.select("t")).mapInArrow(run, "shard long, f binary, n binary").groupBy("shard").applyInArrow(count, "f long, n long")
     return np.sort(np.asarray(df.orderBy(F.desc("n"), "f").limit(max_features).select("f").toArrow()["f"]).astype(np.int64).view(U64))
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in their order and the sums of their counts."""
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.int64)
+
+
 def encoded(sample: DataFrame, keys: np.ndarray) -> DataFrame:
     """(k, y, i): each text's features among ``keys``, as packed 32-bit indices."""
     handed = sample.sparkSession.sparkContext.broadcast(keys)
@@ -134,7 +159,7 @@ def encoded(sample: DataFrame, keys: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array(rows, pa.binary())], names=["k", "y", "i"])
 
     schema = T.StructType([sample.schema["k"], sample.schema["y"]]).add("i", "binary")
-    return sample.select("k", "y", "t").mapInArrow(run, schema)
+    return small_batches(sample.select("k", "y", "t")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_features: int = 1 << 20, min_df: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 10, seed: int = 7) -> Model:
@@ -186,7 +211,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]
             s = handed.value.scores(b.column("t"))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    out = inner.mapInArrow(run, schema)
+    out = small_batches(inner).mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in ("score", "predicted")], "score", "predicted")
 
 
@@ -199,4 +224,4 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float
         for b in batches:
             yield b.filter(pa.array(handed.value.scores(b.column(place)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
