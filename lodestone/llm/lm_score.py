@@ -3,7 +3,8 @@
 Counts. Words and pairs are counted over the whole training part: each block of
 documents sends its distinct ones to count shards and gets the corpus counts back,
 in rows of packed numbers, so that a frequent word is one entry for a block, not a
-row for each occurrence. Triples follow where both their pairs repeat.
+row for each occurrence. Of triples, marks of fewer bits go first; those follow that
+may repeat, by their marks and by both their pairs.
 
 Model. Every word is a symbol of its own, and every pair and triple that occurs
 ``LEAST`` times is an arc: absolute discounting, interpolated with the next shorter
@@ -39,8 +40,8 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import U64, buffer, chunks, discard, mix, owner, text_bytes, word_hashes, written
 
-#: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block of documents, about, and blocks whose n-grams make a shard's.
+BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 4
 #: Tokens of a text that are traversed in one go.
 STRIDE = 256
 #: The end of a text, as a token.
@@ -103,8 +104,8 @@ class Automaton:
 
 #: An n-gram is an arc from so many occurrences on, whatever the size of the corpus.
 LEAST = 2
-#: Kinds of sharded rows: words, pairs, triples, contexts of one and of two words; 0 has a block's share of single triples.
-WORDS, PAIRS, TRIPLES, AFTER_ONE, AFTER_TWO = 1, 2, 3, 4, 5
+#: Kinds of sharded rows: words, pairs, triples, contexts of one and of two words, marks of triples; 0 has a block's share of single triples.
+WORDS, PAIRS, TRIPLES, AFTER_ONE, AFTER_TWO, MARKS = 1, 2, 3, 4, 5, 6
 SENT = "kind int, shard long, block long, keys binary, a binary, b binary, stats array<long>"
 
 
@@ -135,14 +136,14 @@ def ascended(x: bytes) -> np.ndarray:
 
 @dataclass
 class Keys:
-    """Bits of the shard number, and of the keys of words and of longer n-grams."""
+    """Bits of the shard number, of the keys of longer n-grams and of the marks of triples."""
 
     shard: int
     gram: int
-    word: int = 64
+    mark: int
 
     def of(self, kind: int) -> int:
-        return self.word if kind in (WORDS, AFTER_ONE) else self.gram
+        return {WORDS: 64, AFTER_ONE: 64, MARKS: self.mark}.get(kind, self.gram)
 
     def follow(self, context: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The key of a context and the word after it."""
@@ -162,31 +163,33 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 class Grams:
-    """The tokens of a block with its distinct words and pairs. A text starts in the
-    context of the end of another one, so that contexts count as often as they are followed."""
+    """The tokens of a block with its distinct words, pairs and marks of triples. A text starts in
+    the context of the end of another one, so that contexts count as often as they are followed."""
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray, keys: Keys):
         h, self.first = tokens(texts)
-        self.follow = keys.follow
-        self.later = np.ones(len(h), dtype=bool)  # has two words before it, the start counted
-        self.later[self.first[:-1]] = False
         self.words, self.word = np.unique(h, return_inverse=True)
         self.end = int(np.searchsorted(self.words, [END])[0])
         self.before = np.concatenate(([self.end], self.word[:-1]))
         self.pairs, self.example, self.pair = np.unique(keys.follow(self.words[self.before], h), return_index=True, return_inverse=True)
-
-    def triples(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the triples whose two pairs both repeat (``n``: the pairs' counts), as every
-        triple that repeats has them: places, distinct keys, a place of each key, and each place's key."""
-        repeats = n[self.pair] >= LEAST
-        at = np.flatnonzero(self.later[1:] & repeats[1:] & repeats[:-1]) + 1
-        u, example, inverse = np.unique(self.follow(self.pairs[self.pair[at - 1]], self.words[self.word[at]]), return_index=True, return_inverse=True)
+        later = np.ones(len(h), dtype=bool)  # has two words before it, the start counted
+        later[self.first[:-1]] = False
+        self.third = np.flatnonzero(later)
+        self.key = keys.follow(self.pairs[self.pair[self.third - 1]], h[self.third])
+        self.marks, self.mark = np.unique(self.key >> U64(keys.gram - keys.mark), return_inverse=True)
+
+    def triples(self, n: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the triples that may repeat, by their pairs (``n``: the pairs' counts) and by
+        their marks: places, distinct keys, a place of each key, and each place's key."""
+        some = (n[self.pair[self.third]] >= LEAST) & (n[self.pair[self.third - 1]] >= LEAST) & (repeats[self.mark] > 0)
+        at = self.third[some]
+        u, example, inverse = np.unique(self.key[some], return_index=True, return_inverse=True)
         return at, u, at[example], inverse
 
     def automaton(self, have: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int, d1: float, d2: float, d3: float) -> tuple[Automaton, int]:
         """The states and arcs that the block's texts can meet, and the state of a text's start."""
         c, pairs, w, m = have[WORDS][0], have[PAIRS][0], len(self.words), len(self.pairs)
-        _, _, e, _ = self.triples(pairs)
+        _, _, e, _ = self.triples(pairs, have[MARKS][0])
         triples = have[TRIPLES][0]
         one = np.where(c > 0, c - d1, d1 * v) / n if n else np.ones(w)
         state = np.where(c >= LEAST, np.arange(w) + 1, 0)
@@ -210,7 +213,7 @@ class Grams:
 def tallied(sent: DataFrame, by: Keys) -> DataFrame:
     """Sums of ``a`` and ``b`` by key, shard by shard: a row back for each row with a block, in
     the order of its keys, and for each shard a row of totals (all, distinct, once,
-    twice). Of pairs, ``b`` marks one of the rows that sent a key. Triples also give their
+    twice). Of marks the answer is whether they repeat. Of pairs, ``b`` tells one of the rows that sent a key. Triples also give their
     contexts the sum and the number of those that repeat, as rows without a block."""
 
     def count(group: pa.Table) -> pa.Table:
@@ -220,7 +223,9 @@ def tallied(sent: DataFrame, by: Keys) -> DataFrame:
         u, example, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = _sums(inverse, a, len(u))
         one = np.zeros(len(a), dtype=np.int64)
-        if kind == PAIRS:
+        if kind == MARKS:
+            sums = (sums >= LEAST).astype(np.int64)
+        elif kind == PAIRS:
             one[example] = 1
         elif kind in (AFTER_ONE, AFTER_TWO):
             one = _sums(inverse, b, len(u))[inverse]
@@ -245,7 +250,7 @@ def _answers(group: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By kind the answers to a block, in the order of its keys."""
     rows = sorted(zip(group["kind"].to_pylist(), group["shard"].to_pylist(), group["a"].to_pylist(), group["b"].to_pylist(), strict=True), key=lambda r: r[:2])
     out = {}
-    for kind in (WORDS, PAIRS, TRIPLES, AFTER_ONE, AFTER_TWO):
+    for kind in (WORDS, PAIRS, TRIPLES, AFTER_ONE, AFTER_TWO, MARKS):
         mine = [r for r in rows if r[0] == kind]
         out[kind] = tuple(np.concatenate([np.zeros(0, dtype=np.int64), *(unpacked(r[c]).astype(np.int64) for r in mine)]) for c in (2, 3))
     return out
@@ -266,10 +271,10 @@ def _discount(once: int, twice: int) -> float:
 
 
 def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
-    """The blocks send their distinct words and pairs to shards and get the corpus counts
+    """The blocks send their distinct words, pairs and marks to shards and get the corpus counts
     back, then the triples that may repeat and the contexts; nothing is broadcast but totals."""
-    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-    by = Keys((n_blocks - 1).bit_length(), min(64, max(1, n_bytes).bit_length() + 20))
+    n_blocks, size = max(1, -(-n_bytes // BLOCK_BYTES)), max(1, n_bytes).bit_length()
+    by = Keys((-(-n_blocks // BLOCKS_A_SHARD) - 1).bit_length(), min(64, size + 20), min(64, size + 6))
     inner = inner.withColumn("block", F.pmod(F.xxhash64("t", *ids), F.lit(n_blocks)).cast("long"))
 
     def learned(left: pa.Table, g: Grams) -> np.ndarray:
@@ -279,22 +284,22 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
         g, block = Grams(left["t"], by), left["block"][0].as_py()
         taught = learned(left, g)
         rows = []
-        for kind, u, i in ((WORDS, g.words, g.word), (PAIRS, g.pairs, g.pair)):
-            rows += by.sent(kind, block, u, np.bincount(i[taught], minlength=len(u)), np.zeros(len(u), dtype=np.int64))
+        for kind, u, n in ((WORDS, g.words, np.bincount(g.word[taught], minlength=len(g.words))), (PAIRS, g.pairs, np.bincount(g.pair[taught], minlength=len(g.pairs))), (MARKS, g.marks, np.minimum(np.bincount(g.mark[taught[g.third]], minlength=len(g.marks)), LEAST))):
+            rows += by.sent(kind, block, u, n, np.zeros(len(u), dtype=np.int64))
         return _table(rows)
 
     def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
         g, block, have = Grams(left["t"], by), left["block"][0].as_py(), _answers(right)
         taught, c, (n, mine) = learned(left, g), have[WORDS][0], have[PAIRS]
-        at, u, example, i = g.triples(n)
+        at, u, example, i = g.triples(n, have[MARKS][0])
         rows = by.sent(TRIPLES, block, u, np.bincount(i[taught[at]], minlength=len(u)), g.pairs[g.pair[example - 1]])
         mine = (mine > 0) & (n >= LEAST)
         after, often = g.before[g.example[mine]], c >= LEAST
         rows += by.sent(AFTER_ONE, block, g.words[often], _sums(after, n[mine], len(c))[often], np.bincount(after, minlength=len(c))[often])
         none = np.zeros(int((n >= LEAST).sum()), dtype=np.int64)
         rows += by.sent(AFTER_TWO, block, g.pairs[n >= LEAST], none, none)
-        # A triple with a pair that occurs once occurs once.
-        single = int((g.later & taught).sum() - taught[at].sum())
+        # A triple that cannot repeat occurs once.
+        single = int(taught[g.third].sum() - taught[at].sum())
         return _table([*rows, (0, 0, None, None, None, None, [single, single, single, 0])])
 
     blocks = inner.select("block", "train", "t").groupBy("block")

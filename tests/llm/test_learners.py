@@ -273,10 +273,10 @@ def test_traversal_is_a_distribution_and_carries_its_state():
     and a long text in parts scores like the walk through one state after the other."""
     rng = random.Random(5)
     texts = pa.array([" ".join(rng.choice(["a b c", "d e f", "x"]) for _ in range(n)) for n in (1, 3, 40, 700, 300)] + ["", "new"])
-    g = lm_score.Grams(texts, lm_score.Keys(0, 60))
+    g = lm_score.Grams(texts, lm_score.Keys(0, 60, 40))
     n = len(g.word)
     c, pairs = np.bincount(g.word), np.bincount(g.pair)
-    at, u, e, i = g.triples(pairs)
+    at, u, e, i = g.triples(pairs, np.bincount(g.mark) >= 2)
     triples = np.bincount(i, minlength=len(u))
     c[np.searchsorted(g.words, lm_score.tokens(pa.array(["new"]))[0][:1])] = 0  # as if held out
 
@@ -284,7 +284,7 @@ def test_traversal_is_a_distribution_and_carries_its_state():
         kept, some = counts >= 2, contexts >= 2
         return tuple(np.bincount(context[kept], x, minlength=len(some)).astype(int)[some] for x in (counts[kept], np.ones(kept.sum())))
 
-    have = {1: (c, c), 2: (pairs, pairs), 3: (triples, triples), 4: after(pairs, g.before[g.example], c), 5: after(triples, g.pair[e - 1], pairs)}
+    have = {1: (c, c), 2: (pairs, pairs), 3: (triples, triples), 4: after(pairs, g.before[g.example], c), 5: after(triples, g.pair[e - 1], pairs), 6: (np.bincount(g.mark) >= 2, 0)}
     auto, start = g.automaton(have, n - 1, len(c) - 1, 0.5, 0.4, 0.3)
     arcs = {int(k): (int(t), float(w)) for k, t, w in zip(auto.keys, auto.targets, auto.weights, strict=True)}
 
