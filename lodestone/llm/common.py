@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: White space of the word contracts: blank and \x09 to \x0D.
@@ -161,6 +162,29 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def zipped(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the column ``text`` as compressed UTF-8, for texts that are dealt out; null is empty."""
+    place = df.columns.index(text)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if i == place else f for i, f in enumerate(df.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            packed = pa.array([press(x.as_buffer()) if x.is_valid else press(b"") for x in b.column(place)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == place else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def unzipped(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
+    import zstandard
+
+    loose = zstandard.ZstdDecompressor().decompress
+    return pa.array([loose(x.as_buffer()) for x in texts], pa.large_binary()).cast(pa.large_string())
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of all texts, from one narrow scan."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, discard, mix, owner, text_bytes, word_hashes, written
+from lodestone.llm.common import U64, buffer, chunks, discard, mix, owner, text_bytes, unzipped, word_hashes, written, zipped
 
 #: Bytes of text in a block of documents, about, and blocks whose n-grams make a shard's.
 BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 4
@@ -61,17 +61,21 @@ def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Automaton:
-    """States from 0, the context of no word, which has an arc for each symbol. Arcs by
-    sorted key (state * symbols + symbol); weights are log10."""
+    """States from 0, the context of no word; then those of one word, from ``pairs`` on those of
+    two. Arcs have a key (state * symbols + symbol), a target and a log10 weight. ``met`` has
+    for each place of the texts the arc of its symbol from the states of no word, of one
+    and of two that a text can be in there, or -1 where they have none; the first always has."""
 
     symbols: int
+    pairs: int
     keys: np.ndarray
     targets: np.ndarray
     weights: np.ndarray
     failures: np.ndarray
     failure_weights: np.ndarray
+    met: np.ndarray
 
-    def traverse(self, s: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    def traverse(self, first: np.ndarray, start: int) -> np.ndarray:
         """log10 probability of each symbol of the texts that begin at ``first``, in state ``start``."""
         size = np.diff(first)
         parts = -(-size // STRIDE)
@@ -84,19 +88,17 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         begin, size, lead = begin[order], size[order], lead[order]
         state = np.where(lead > 0, 0, start)
-        out = np.zeros(len(s))
+        out = np.zeros(self.met.shape[1])
         for step in range(int(size[0]) if len(size) else 0):
             k = int(np.searchsorted(-size, -step, side="left"))
-            at = begin[:k] + step
-            now, value, open_ = s[at], np.zeros(k), np.arange(k)
+            at, value, open_ = begin[:k] + step, np.zeros(k), np.arange(k)
             while len(open_):
                 here = state[open_]
-                key = here * self.symbols + now[open_]
-                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                fits = self.keys[arc] == key
-                state[open_] = np.where(fits, self.targets[arc], self.failures[here])
-                value[open_] += np.where(fits, self.weights[arc], self.failure_weights[here])
-                open_ = open_[~fits]
+                arc = self.met[(here > 0).astype(np.int8) + (here >= self.pairs), at[open_]]
+                fails = arc < 0
+                state[open_] = np.where(fails, self.failures[here], self.targets[arc])
+                value[open_] += np.where(fails, self.failure_weights[here], self.weights[arc])
+                open_ = open_[fails]
             told = lead[:k] <= step
             out[at[told]] = value[told]
         return out
@@ -126,12 +128,26 @@ def unpacked(x: bytes) -> np.ndarray:
 
 
 def ascending(x: np.ndarray) -> bytes:
-    """``packed`` for sorted numbers: the first and the steps from each to the next."""
-    return int(x[0]).to_bytes(8, "little") + packed(np.diff(x))
+    """Sorted numbers: the first, then the steps from each to the next in Rice's code, the low
+    bits of all steps side by side and the rest in unary."""
+    step = np.diff(x)
+    low = max(0, (int(x[-1]) - int(x[0])) // max(1, len(step))).bit_length() - 1 if len(step) else 0
+    low = max(0, low)
+    bits = np.unpackbits(step.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
+    ends = np.cumsum((step >> U64(low)).astype(np.int64) + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, dtype=np.uint8)
+    unary[ends] = 1
+    return int(x[0]).to_bytes(8, "little") + len(step).to_bytes(8, "little") + bytes([low]) + np.packbits(bits.ravel()).tobytes() + np.packbits(unary).tobytes()
 
 
 def ascended(x: bytes) -> np.ndarray:
-    return np.cumsum(np.concatenate(([U64(int.from_bytes(x[:8], "little"))], unpacked(x[8:]))), dtype=U64)
+    first, n, low = int.from_bytes(x[:8], "little"), int.from_bytes(x[8:16], "little"), x[16]
+    cut = 17 + -(-n * low // 8)
+    bits = np.zeros((n, 64), dtype=np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(x[17:cut], dtype=np.uint8), count=n * low).reshape(n, low)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(x[cut:], dtype=np.uint8)))
+    step = (np.diff(ends, prepend=-1) - 1).astype(U64) << U64(low) | np.packbits(bits, axis=1).view(">u8").ravel().astype(U64)
+    return np.cumsum(np.concatenate(([U64(first)], step)), dtype=U64)
 
 
 @dataclass
@@ -189,7 +205,7 @@ class Grams:
     def automaton(self, have: dict[int, tuple[np.ndarray, np.ndarray]], n: int, v: int, d1: float, d2: float, d3: float) -> tuple[Automaton, int]:
         """The states and arcs that the block's texts can meet, and the state of a text's start."""
         c, pairs, w, m = have[WORDS][0], have[PAIRS][0], len(self.words), len(self.pairs)
-        _, _, e, _ = self.triples(pairs, have[MARKS][0])
+        at, _, e, which = self.triples(pairs, have[MARKS][0])
         triples = have[TRIPLES][0]
         one = np.where(c > 0, c - d1, d1 * v) / n if n else np.ones(w)
         state = np.where(c >= LEAST, np.arange(w) + 1, 0)
@@ -204,10 +220,13 @@ class Grams:
         keys = np.concatenate((np.arange(w), (old[arc_two] + 1) * w + new[arc_two], (context + 1 + w) * w + self.word[e]))
         targets = np.concatenate((state, arc_two + 1 + w, pair + 1 + w))
         weights = np.log10(np.concatenate((one, two[arc_two], three)))
-        by = np.argsort(keys)
+        met = np.full((3, len(self.word)), -1, dtype=np.int32)
+        met[0] = self.word
+        met[1] = np.where(pairs >= LEAST, w + np.cumsum(pairs >= LEAST) - 1, -1)[self.pair]
+        met[2, at] = np.where(often, w + len(arc_two) + np.cumsum(often) - 1, -1)[which]
         failures = np.concatenate((np.zeros(w + 1, dtype=np.int64), state[new]))
         failure_weights = np.log10(np.concatenate(([1.0], left_one, left_two)))
-        return Automaton(w, keys[by], targets[by], weights[by], failures, failure_weights), int(state[self.end])
+        return Automaton(w, w + 1, keys, targets, weights, failures, failure_weights, met), int(state[self.end])
 
 
 def tallied(sent: DataFrame, by: Keys) -> DataFrame:
@@ -275,13 +294,13 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
     back, then the triples that may repeat and the contexts; nothing is broadcast but totals."""
     n_blocks, size = max(1, -(-n_bytes // BLOCK_BYTES)), max(1, n_bytes).bit_length()
     by = Keys((-(-n_blocks // BLOCKS_A_SHARD) - 1).bit_length(), min(64, size + 20), min(64, size + 6))
-    inner = inner.withColumn("block", F.pmod(F.xxhash64("t", *ids), F.lit(n_blocks)).cast("long"))
+    inner = zipped(inner.withColumn("block", F.pmod(F.xxhash64("t", *ids), F.lit(n_blocks)).cast("long")), "t")
 
     def learned(left: pa.Table, g: Grams) -> np.ndarray:
         return np.asarray(left["train"])[owner(g.first)]
 
     def first_round(left: pa.Table) -> pa.Table:
-        g, block = Grams(left["t"], by), left["block"][0].as_py()
+        g, block = Grams(unzipped(left["t"]), by), left["block"][0].as_py()
         taught = learned(left, g)
         rows = []
         for kind, u, n in ((WORDS, g.words, np.bincount(g.word[taught], minlength=len(g.words))), (PAIRS, g.pairs, np.bincount(g.pair[taught], minlength=len(g.pairs))), (MARKS, g.marks, np.minimum(np.bincount(g.mark[taught[g.third]], minlength=len(g.marks)), LEAST))):
@@ -289,7 +308,7 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
         return _table(rows)
 
     def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, block, have = Grams(left["t"], by), left["block"][0].as_py(), _answers(right)
+        g, block, have = Grams(unzipped(left["t"]), by), left["block"][0].as_py(), _answers(right)
         taught, c, (n, mine) = learned(left, g), have[WORDS][0], have[PAIRS]
         at, u, example, i = g.triples(n, have[MARKS][0])
         rows = by.sent(TRIPLES, block, u, np.bincount(i[taught[at]], minlength=len(u)), g.pairs[g.pair[example - 1]])
@@ -320,11 +339,11 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
     d1, d2, d3 = (_discount(int(x[2]), int(x[3])) for x in total.values())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, have = Grams(left["t"], by), _answers(right)
+        g, have = Grams(unzipped(left["t"]), by), _answers(right)
         c = have[WORDS][0]
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         arcs, start = g.automaton(have, n, v, d1, d2, d3)
-        p = arcs.traverse(g.word, g.first, start)
+        p = arcs.traverse(g.first, start)
         doc, size = owner(g.first), len(g.first) - 1
         arrays = {x: left[x] for x in ids}
         arrays["n_tokens"] = pa.array(np.diff(g.first), pa.int64())
