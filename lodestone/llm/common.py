@@ -11,8 +11,11 @@ probability of about (distinct words)**2 / 2**65.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ _powers: dict[str, np.ndarray] = {}
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 1 << 20
 #: Bytes of an Arrow batch, and Spark's own default.
-BATCH_BYTES, _DEFAULT_BATCH = 4 << 20, "67108864b"
+BATCH_BYTES, _DEFAULT_BATCH = 1 << 20, "67108864b"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -118,6 +121,12 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, word: np.ndarray | None = Non
     return hashes(raw, starts, ends), first
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in their order and the sums of their counts."""
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.int64)
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """The document of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -137,13 +146,45 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose Arrow batches have a few MB from now on, where the session has not set
-    them: what a worker and its JVM hold must not depend on the length of texts."""
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of about a MB, where the session has not set their
+    bytes: what a worker and its JVM hold must not depend on the length of texts. At a
+    task's end the worker gives back the memory that it does not need."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BATCH:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(lean, schema)
+
+
+def lean(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of one group or of two; after each call the worker gives back the memory that it does not need."""
+
+    def one(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            _trim()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _trim()
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -154,6 +195,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and the shuffles of the step removed: Spark drops their files only after
+    the driver collects garbage, the first time what refers to them, then themselves."""
+    out = written(df, name)
+    for _ in range(2):
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+    return out
+
+
 def discard(table: DataFrame) -> None:
     """Removes the files of what ``written`` has returned, once nothing reads it any more."""
     jvm, conf = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -175,7 +226,7 @@ def zipped(df: DataFrame, text: str) -> DataFrame:
             packed = pa.array([press(x.as_buffer()) if x.is_valid else press(b"") for x in b.column(place)], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if i == place else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return small_batches(df).mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def unzipped(texts: pa.Array | pa.ChunkedArray) -> pa.Array:

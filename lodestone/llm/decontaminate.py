@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, buffer, chunks, small_batches
+from lodestone.llm.common import LOWER, buffer, chunks, mapped
 
 #: Items that one pass over the documents takes with it.
 ITEMS = 10_000
@@ -186,7 +186,7 @@ def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
                     doc, item, d, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(doc)), pa.array(item), pa.array(d, pa.int64()), pa.array(end, pa.int64())], names=["k", "item", "distance", "end"])
 
-        out = out.unionByName(small_batches(inner).mapInArrow(run, schema))
+        out = out.unionByName(mapped(inner, run, schema))
     return out.withColumnsRenamed({"k": key, "item": item_key if item_key != key else "matched_item"})
 
 
@@ -203,5 +203,5 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: st
                 keep[[doc for doc, *_ in handed.value.hits(*buffer(b.column(place)))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = small_batches(docs).mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

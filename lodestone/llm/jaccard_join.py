@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, mix, owner, small_batches, word_hashes, written
+from lodestone.llm.common import U64, buffer, chunks, mapped, mix, owner, word_hashes, written
 
 _SALT, _K1, _K2, _K3 = (U64(x) for x in (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Bits of the filters that spare later passes what has no partner: 16 MB, whatever the input.
@@ -219,7 +219,7 @@ def _key_rows(docs: DataFrame, words: int, table: list[Band], num: int, den: int
                     for a in range(0, len(key), 200_000):
                         yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000].view(np.int64)), pa.array(node[doc[a : a + 200_000]].view(np.int64))], names=["key", "node"])
 
-    return small_batches(docs).mapInArrow(run, "key long, node long")
+    return mapped(docs, run, "key long, node long")
 
 
 def _member_rows(docs: DataFrame, words: int, table: list[Band], num: int, den: int, chosen: Filter) -> DataFrame:
@@ -249,7 +249,7 @@ def _member_rows(docs: DataFrame, words: int, table: list[Band], num: int, den:
                         columns = [key[a : a + 100_000].view(np.int64), node[d].view(np.int64), size[d].astype(np.int32), np.full(len(d), below == 1), nth[a : a + 100_000].astype(np.int32), m[d].astype(np.int32), need[d].astype(np.int32), limit[d].astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "size", "below", "segment", "segments", "need", "limit"])
 
-    return small_batches(docs).mapInArrow(run, "key long, node long, size int, below boolean, segment int, segments int, need int, limit int")
+    return mapped(docs, run, "key long, node long, size int, below boolean, segment int, segments int, need int, limit int")
 
 
 def lookups(members: DataFrame, shared: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def _sets(docs: DataFrame, words: int, chosen: Filter) -> DataFrame:
                         names=["node", "items", "bits"],
                     )
 
-    return small_batches(docs).mapInArrow(run, "node long, items array<long>, bits array<long>")
+    return mapped(docs, run, "node long, items array<long>, bits array<long>")
 
 
 def may_link(a: str, b: str, size_a: str, size_b: str, num: int, den: int) -> Column:
@@ -387,7 +387,7 @@ def grouped(docs: DataFrame, key: str, text: str, words: int, num: int, den: int
                 size.append(y)
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), pa.array(np.concatenate(node).view(np.int64)), pa.array(np.concatenate(size).astype(np.int64))], names=["k", "h", "node", "size"])
 
-    rows = written(small_batches(inner).mapInArrow(run, schema), "jaccard-rows")
+    rows = written(mapped(inner, run, schema), "jaccard-rows")
     sets = rows.where("size > 0").groupBy("node").agg(F.max("size").alias("size"))
     top = rows.agg(F.max("size")).first()[0]
     if not top:

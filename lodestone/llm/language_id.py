@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, buffer, chunks, small_batches, written
+from lodestone.llm.common import LOWER, buffer, chunks, mapped, written
 
 BLOCK = 256
 #: A letter, by Unicode.
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[st
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(names, pa.string()), pa.array(s), pa.array(rate)], names=[*b.schema.names[:-2], "lang_pred", "score", "bits"])
 
     results = ("lang_pred", "score", "bits")
-    return small_batches(inner).mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in results], *results)
+    return mapped(inner, run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in results], *results)
 
 
 def _has_letter(text: Column) -> Column:
@@ -233,4 +233,4 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", most_bits: fl
             keep = (np.array(names, dtype=object) != "und") & (bits <= most_bits + spare_phrases * phrase)
             yield pa.RecordBatch.from_arrays(b.columns[:last], names=b.schema.names[:last]).filter(pa.array(keep))
 
-    return small_batches(docs.select("*", _has_letter(F.col(text)).alias("__has_letter"))).mapInArrow(run, docs.schema)
+    return mapped(docs.select("*", _has_letter(F.col(text)).alias("__has_letter")), run, docs.schema)

@@ -28,7 +28,6 @@ probability below 2**-20 at any size.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, discard, mix, owner, text_bytes, unzipped, word_hashes, written, zipped
+from lodestone.llm.common import U64, buffer, chunks, discard, lean, mix, owner, settled, text_bytes, unzipped, word_hashes, written, zipped
 
 #: Bytes of text in a block of documents, about, and blocks whose n-grams make a shard's.
 BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 4
@@ -258,7 +257,7 @@ def tallied(sent: DataFrame, by: Keys) -> DataFrame:
         stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
         return _table([*out, (kind, shard, None, None, None, None, stats)])
 
-    return sent.groupBy("kind", "shard").applyInArrow(count, SENT)
+    return sent.groupBy("kind", "shard").applyInArrow(lean(count), SENT)
 
 
 def _sums(i: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -275,16 +274,6 @@ def _answers(group: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _step(df: DataFrame, name: str) -> DataFrame:
-    """``written``, and the shuffles of the step removed: Spark drops their files only after
-    the driver collects garbage, the first time what refers to them, then themselves."""
-    out = written(df, name)
-    for _ in range(2):
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-    return out
-
-
 def _discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
@@ -322,12 +311,12 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
         return _table([*rows, (0, 0, None, None, None, None, [single, single, single, 0])])
 
     blocks = inner.select("block", "train", "t").groupBy("block")
-    counts = _step(tallied(blocks.applyInArrow(first_round, SENT), by), "lm-counts")
+    counts = settled(tallied(blocks.applyInArrow(lean(first_round), SENT), by), "lm-counts")
     back = counts.where("block is not null").select("kind", "block", "shard", "a", "b")
-    sent = _step(blocks.cogroup(back.groupBy("block")).applyInArrow(second_round, SENT), "lm-sent")
-    more = _step(tallied(sent.where(F.col("kind").isin(TRIPLES, AFTER_ONE)), by), "lm-triples")
+    sent = settled(blocks.cogroup(back.groupBy("block")).applyInArrow(lean(second_round), SENT), "lm-sent")
+    more = settled(tallied(sent.where(F.col("kind").isin(TRIPLES, AFTER_ONE)), by), "lm-triples")
     part = more.where("block is null and keys is not null")
-    last = _step(tallied(sent.where(F.col("kind") == AFTER_TWO).unionByName(part), by), "lm-contexts")
+    last = settled(tallied(sent.where(F.col("kind") == AFTER_TWO).unionByName(part), by), "lm-contexts")
     total = {k: np.zeros(4, dtype=np.int64) for k in (WORDS, PAIRS, TRIPLES)}
     stats = counts.unionByName(more).unionByName(sent).where("stats is not null")
     for r in stats.groupBy("kind").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(4)]).collect():  # one row for each kind
@@ -354,7 +343,7 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
         return pa.table(arrays)
 
     answers = reduce(DataFrame.unionByName, [t.where("block is not null").select("kind", "block", "shard", "a", "b") for t in (counts, more, last)])
-    return inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _scored(inner, ids))
+    return inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(run), _scored(inner, ids))
 
 
 def _rest(n: np.ndarray, after: tuple[np.ndarray, np.ndarray], discount: float) -> np.ndarray:

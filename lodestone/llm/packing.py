@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, U64, WHITE, buffer, chunks, hashes, small_batches, spans
+from lodestone.llm.common import LOWER, U64, WHITE, buffer, chunks, hashes, mapped, spans
 
 CAPACITY = 4096
 TAIL = 64
 #: Distinct pieces of text whose ids a worker keeps between batches.
-CACHE = 600_000
+CACHE = 300_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -272,4 +272,4 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
         if bins.done:
             yield out()
 
-    return small_batches(inner).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return mapped(inner, run, schema).withColumnRenamed("k", key)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, mix, owner, small_batches, word_hashes, written
+from lodestone.llm.common import U64, buffer, chunks, lean, mapped, mix, owner, summed, word_hashes, written
 
 #: Features that a task sums before it sends them, about.
 _HELD = 2_000_000
@@ -134,16 +134,10 @@ def frequent(sample: DataFrame, min_df: int, max_features: int) -> np.ndarray:
         u, n = summed([np.frombuffer(x, dtype=U64) for x in group["f"].to_pylist()], [np.frombuffer(x, dtype="<i4") for x in group["n"].to_pylist()])
         return pa.table({"f": pa.array(u[n >= min_df].view(np.int64)), "n": pa.array(n[n >= min_df])})
 
-    df = small_batches(sample.select("t")).mapInArrow(run, "shard long, f binary, n binary").groupBy("shard").applyInArrow(count, "f long, n long")
+    df = mapped(sample.select("t"), run, "shard long, f binary, n binary").groupBy("shard").applyInArrow(lean(count), "f long, n long")
     return np.sort(np.asarray(df.orderBy(F.desc("n"), "f").limit(max_features).select("f").toArrow()["f"]).astype(np.int64).view(U64))
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in their order and the sums of their counts."""
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.int64)
-
-
 def encoded(sample: DataFrame, keys: np.ndarray) -> DataFrame:
     """(k, y, i): each text's features among ``keys``, as packed 32-bit indices."""
     handed = sample.sparkSession.sparkContext.broadcast(keys)
@@ -159,7 +153,7 @@ def encoded(sample: DataFrame, keys: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array(rows, pa.binary())], names=["k", "y", "i"])
 
     schema = T.StructType([sample.schema["k"], sample.schema["y"]]).add("i", "binary")
-    return small_batches(sample.select("k", "y", "t")).mapInArrow(run, schema)
+    return mapped(sample.select("k", "y", "t"), run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, max_features: int = 1 << 20, min_df: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 10, seed: int = 7) -> Model:
@@ -211,7 +205,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", carry: list[str]
             s = handed.value.scores(b.column("t"))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    out = small_batches(inner).mapInArrow(run, schema)
+    out = mapped(inner, run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c not in ("score", "predicted")], "score", "predicted")
 
 
@@ -224,4 +218,4 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float
         for b in batches:
             yield b.filter(pa.array(handed.value.scores(b.column(place)) < limit))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
