@@ -10,27 +10,22 @@ BRANDS = "b AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM linei
 EVENT_ITEMS = "e AS (SELECT user_id, strftime(ts, '%Y%m%d') || '-' || event_type AS item FROM events)"
 
 
-def _itemsets(baskets: str, share: float, sizes: int) -> str:
-    out = [f"WITH {baskets}, s AS (SELECT ceil(count(DISTINCT basket) * {share})::BIGINT AS least FROM b)"]
-    out.append(", f1 AS (SELECT item AS i1, count(*) AS support FROM b GROUP BY item HAVING count(*) >= (SELECT least FROM s))")
-    out.append(", p AS (SELECT basket, item FROM b WHERE item IN (SELECT i1 FROM f1))")
-    for k in range(2, sizes + 1):
-        names = [f"i{j}" for j in range(1, k + 1)]
-        sel = ", ".join(f"x{j}.item AS i{j}" for j in range(1, k + 1))
-        joins = " ".join(f"JOIN p x{j} ON x{j}.basket = x1.basket AND x{j}.item > x{j - 1}.item" for j in range(2, k + 1))
-        out.append(f", f{k} AS (SELECT {', '.join(names)}, count(*) AS support FROM (SELECT {sel} FROM p x1 {joins}) GROUP BY ALL HAVING count(*) >= (SELECT least FROM s))")
-    parts = [f"SELECT {k}::INTEGER AS size, {' || chr(44) || '.join(f'i{j}' for j in range(1, k + 1))} AS itemset, support::BIGINT AS support FROM f{k}" for k in range(1, sizes + 1)]
-    return "".join(out) + " " + " UNION ALL ".join(parts)
+def _itemsets(baskets: str, share: float) -> str:
+    """Itemsets of any size: each grows by a later item, with the baskets that hold all of it."""
+    return f"""WITH RECURSIVE {baskets}, s AS (SELECT ceil(count(DISTINCT basket) * {share})::BIGINT AS least FROM b),
+t AS (SELECT item, list(basket) AS held FROM b GROUP BY item HAVING count(*) >= (SELECT least FROM s)),
+f AS (SELECT 1::INTEGER AS size, item AS itemset, item AS last, held FROM t
+UNION ALL SELECT (size + 1)::INTEGER, itemset || ',' || item, item, common FROM (SELECT f.size, f.itemset, t.item, list_intersect(f.held, t.held) AS common FROM f JOIN t ON t.item > f.last) WHERE len(common) >= (SELECT least FROM s))
+SELECT size, itemset, len(held)::BIGINT AS support FROM f"""
 
 
 def _local(share: float) -> str:
-    head = f"WITH {BRANDS}, s AS (SELECT ceil(count(DISTINCT basket) * {share})::BIGINT AS least, count(DISTINCT basket) AS n FROM b), c AS (SELECT basket % 4 AS chunk, count(DISTINCT basket) AS n FROM b GROUP BY 1), l AS (SELECT chunk, c.n * s.least::DOUBLE / s.n AS least FROM c, s), p AS (SELECT basket % 4 AS chunk, basket, item FROM b)"
-    parts = []
-    for k in (1, 2, 3):
-        sel = ", ".join(f"x{j}.item AS i{j}" for j in range(1, k + 1))
-        joins = " ".join(f"JOIN p x{j} ON x{j}.basket = x1.basket AND x{j}.item > x{j - 1}.item" for j in range(2, k + 1))
-        parts.append(f"SELECT DISTINCT {k}::INTEGER AS size, {' || chr(44) || '.join(f'i{j}' for j in range(1, k + 1))} AS itemset FROM (SELECT x1.chunk, {sel}, count(*) AS n FROM p x1 {joins} GROUP BY ALL) JOIN l USING (chunk) WHERE n >= least")
-    return head + " " + " UNION ALL ".join(parts)
+    return f"""WITH RECURSIVE {BRANDS}, n AS (SELECT count(DISTINCT basket) AS n FROM b), c AS (SELECT basket, item, basket % greatest(4, ceil((SELECT n FROM n) / 25000)::BIGINT) AS chunk FROM b),
+l AS (SELECT chunk, count(DISTINCT basket) * ceil((SELECT n FROM n) * {share}) / (SELECT n FROM n) AS least FROM c GROUP BY chunk),
+t AS (SELECT chunk, item, list(basket) AS held, any_value(least) AS least FROM c JOIN l USING (chunk) GROUP BY chunk, item HAVING count(*) >= any_value(least)),
+f AS (SELECT chunk, 1::INTEGER AS size, item AS itemset, item AS last, held FROM t
+UNION ALL SELECT chunk, (size + 1)::INTEGER, itemset || ',' || item, item, common FROM (SELECT f.chunk, f.size, f.itemset, t.item, t.least, list_intersect(f.held, t.held) AS common FROM f JOIN t ON t.chunk = f.chunk AND t.item > f.last) WHERE len(common) >= least)
+SELECT DISTINCT size, itemset FROM f"""
 
 
 TOKENS = "t AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+')) AS token FROM documents) WHERE token <> '')"
@@ -76,7 +71,7 @@ def _lsh_cf() -> str:
 PREDICTION = " SELECT user_id, item_id, prediction FROM pr"
 RMSE = " SELECT count(*) AS n, round(sqrt(avg((prediction - rating) * (prediction - rating))), 4) AS rmse FROM pr"
 
-EDGES = "h AS (SELECT DISTINCT user_id, strftime(ts, '%Y%m%d%H') || '-' || event_type AS item FROM events), edges AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS common FROM h x JOIN h y ON x.item = y.item AND x.user_id < y.user_id GROUP BY ALL HAVING count(*) >= 5), sym AS (SELECT a AS node, b AS other FROM edges UNION ALL SELECT b, a FROM edges)"
+EDGES = "h AS (SELECT DISTINCT user_id, strftime(ts, '%Y%m%d%H') || '-' || event_type AS item FROM events), edges AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS common FROM h x JOIN h y ON x.item = y.item AND x.user_id < y.user_id GROUP BY ALL HAVING count(*) >= (SELECT 2 + floor(log10(count(DISTINCT user_id))) FROM events)), sym AS (SELECT a AS node, b AS other FROM edges UNION ALL SELECT b, a FROM edges)"
 
 
 def _labels() -> str:
@@ -127,9 +122,9 @@ ORACLE_SQL: dict[str, str] = {
     "city_avg_stars": CITY,
     "city_top10": f"{CITY} ORDER BY avg_stars DESC, city LIMIT 10",
     "partition_sizes": "SELECT l_orderkey % 8 AS partition, count(*) AS n_items FROM lineitem GROUP BY 1",
-    "son_frequent_itemsets_case1": _itemsets(BRANDS, 0.004, 4),
-    "son_frequent_itemsets_case2": _itemsets(f"{EVENT_ITEMS}, b AS (SELECT DISTINCT item AS basket, user_id::VARCHAR AS item FROM e)", 0.2, 3),
-    "son_active_users": _itemsets(f"{EVENT_ITEMS}, b AS (SELECT DISTINCT user_id AS basket, item FROM e WHERE user_id IN (SELECT user_id FROM e GROUP BY 1 HAVING count(*) > 60))", 0.2, 3),
+    "son_frequent_itemsets_case1": _itemsets(BRANDS, 0.004),
+    "son_frequent_itemsets_case2": _itemsets(f"{EVENT_ITEMS}, b AS (SELECT DISTINCT item AS basket, user_id::VARCHAR AS item FROM e)", 0.2),
+    "son_active_users": _itemsets(f"{EVENT_ITEMS}, b AS (SELECT DISTINCT user_id AS basket, item FROM e WHERE user_id IN (SELECT user_id FROM e GROUP BY 1 HAVING count(*) > 60))", 0.2),
     "son_local_candidates": _local(0.01),
     "minhash_signature": f"WITH {EVENT_ITEMS} SELECT item, v, min(((41 + v) * user_id + (23 + v)) % 671) AS minhash FROM e, range(120) r(v) GROUP BY ALL",
     "lsh_candidate_pairs": f"WITH {_lsh()} SELECT a, b FROM c",

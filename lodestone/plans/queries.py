@@ -13,7 +13,8 @@ from lodestone.operators import clustering, explore, graph, itemsets, recommend,
 from lodestone.sources import file_stream, load, written
 
 YEAR = 1998
-EDGE = 5
+#: Baskets in a chunk of the two-phase algorithm, at most.
+CHUNK_BASKETS = 25_000
 BANDS, ROWS = 30, 4
 
 
@@ -68,22 +69,23 @@ def _support(rows: DataFrame, share: float) -> int:
 
 def son_frequent_itemsets_case1(spark: SparkSession, d: str) -> DataFrame:
     rows = written(brand_baskets(spark, d), "baskets")
-    return itemsets.frequent_itemsets(rows, _support(rows, 0.004), 4)
+    return itemsets.frequent_itemsets(rows, _support(rows, 0.004))
 
 
 def son_frequent_itemsets_case2(spark: SparkSession, d: str) -> DataFrame:
     rows = written(itemsets.baskets(event_items(spark, d), F.col("item"), F.col("user").cast("string")), "baskets")
-    return itemsets.frequent_itemsets(rows, _support(rows, 0.2), 3)
+    return itemsets.frequent_itemsets(rows, _support(rows, 0.2))
 
 
 def son_active_users(spark: SparkSession, d: str) -> DataFrame:
     rows = written(itemsets.baskets(itemsets.active(event_items(spark, d), "user", 60), F.col("user"), F.col("item")), "baskets")
-    return itemsets.frequent_itemsets(rows, _support(rows, 0.2), 3)
+    return itemsets.frequent_itemsets(rows, _support(rows, 0.2))
 
 
 def son_local_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = written(brand_baskets(spark, d), "baskets")
-    return itemsets.local_candidates(rows, F.col("basket") % 4, _support(rows, 0.01), 3)
+    chunks = max(4, -(-rows.select("basket").distinct().count() // CHUNK_BASKETS))
+    return itemsets.local_candidates(rows, F.col("basket") % chunks, _support(rows, 0.01))
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +174,8 @@ def als_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     hours = load(spark, d, "events").select("user_id", F.concat_ws("-", F.date_format("ts", "yyyyMMddHH"), "event_type").alias("item"))
-    return written(graph.cooccurrence(hours, "user_id", "item", EDGE), "edges")
+    users = max(1, hours.select("user_id").distinct().count())
+    return written(graph.cooccurrence(hours, "user_id", "item", 2 + int(math.log10(users))), "edges")
 
 
 def coreview_edges(spark: SparkSession, d: str) -> DataFrame:
