@@ -48,12 +48,14 @@ def zero_runs(value: Column, m: int = 65536) -> list[Column]:
 
 
 def flajolet_martin(rows: DataFrame, ts: str, value: str, length: str, slide: str, m: int = 65536, groups: int = 3) -> DataFrame:
-    """(window_start, truth, estimate) over sliding windows, in one aggregation that also
-    runs on streams: the largest run of zeros for each hash; means of 2**run in
-    each group of hashes; the median of the groups, rounded down."""
-    keyed = rows.select(ts, F.col(value).alias("v"), F.array(*zero_runs(F.col(value), m)).alias("z"))
+    """(window_start, truth, estimate) over sliding windows, on tables and on streams: the
+    largest run of zeros for each hash; means of 2**run in each group of hashes; the median
+    of the groups, rounded down. The truth counts a window's distinct values, one row each;
+    no task gathers a window's values."""
+    seen = rows.select(F.window(ts, length, slide).alias("window"), F.col(value).alias("v"))
+    seen = seen.dropDuplicates(["window", "v"]).withColumn("z", F.array(*zero_runs(F.col("v"), m)))
     n = len(HASHES)
-    agg = keyed.groupBy(F.window(ts, length, slide)).agg(F.size(F.collect_set("v")).alias("truth"), *[F.max(F.col("z")[i]).alias(f"z{i}") for i in range(n)])
+    agg = seen.groupBy("window").agg(F.count("v").alias("truth"), *[F.max(F.col("z")[i]).alias(f"z{i}") for i in range(n)])
     size = n // groups
     means = []
     for g in range(groups):

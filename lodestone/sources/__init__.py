@@ -58,6 +58,14 @@ def tracked(stream: DataFrame, words: list[str], language: str = "en", text: str
     return stream.where((F.col(lang) == language) & hit)
 
 
+def tweets(stream: DataFrame, column: str = "value") -> DataFrame:
+    """(text, lang, tags) of JSON lines with ``text``, ``lang`` and ``entities.hashtags[].text``."""
+    parsed = F.from_json(column, "text string, lang string, entities struct<hashtags: array<struct<text: string>>>")
+    row = stream.select(parsed.alias("t"))
+    tags = F.filter(F.coalesce(F.col("t.entities.hashtags.text"), F.array().cast("array<string>")), lambda x: F.length(x) > 0)
+    return row.select("t.text", "t.lang", tags.alias("tags")).where("text is not null")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
@@ -101,3 +109,9 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
         before += n
     shift = spark.createDataFrame(rows, "_p long, _shift long")
     return ranged.withColumn("_p", part).join(F.broadcast(shift), "_p").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_p", "_at", "_shift")
+
+
+def dense(df: DataFrame, column: str, name: str = "dense_id") -> DataFrame:
+    """``df`` with the rank of each value of a column among the distinct ones, from 0 without gaps; null values have none."""
+    ids = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [F.col(column)], "_rank")
+    return df.join(ids.select(column, (F.col("_rank") - 1).alias(name)), column, "left").select(*df.columns, name)

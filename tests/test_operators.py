@@ -1,7 +1,9 @@
 """Hand-checked fixtures and invariants."""
 
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone import streaming
 from lodestone.functions import HASHES, jaccard, linear_hash, mahalanobis, string_mod, subset, trailing_zeros
 from lodestone.operators import clustering, explore, graph, itemsets, recommend, similarity, sketches
-from lodestone.sources import append_csv, csv_table, file_stream, json_field, json_lines, load, numbered, points, tracked, write_csv, write_json
+from lodestone.sources import append_csv, csv_table, dense, file_stream, json_field, json_lines, load, numbered, points, tracked, write_csv, write_json
 
 
 def test_overview_and_tops(spark):
@@ -44,6 +46,73 @@ def test_itemsets_equal_fpgrowth_and_are_monotone(spark):
     assert set(got) <= chunked
 
 
+def test_itemsets_of_any_size_by_brute_force(spark):
+    """No cap on the size: baskets that share twelve items have all 4,095 subsets."""
+    items = [f"i{j:02}" for j in range(12)]
+    held = [set(items), set(items), set(items[:3]), set(items[2:5]), {"z"}]
+    b = spark.createDataFrame([(i, x) for i, s in enumerate(held) for x in s], "basket int, item string")
+    want = {}
+    for n in range(1, 13):
+        for c in itertools.combinations(items, n):
+            k = sum(set(c) <= s for s in held)
+            if k >= 2:
+                want[",".join(c)] = (n, k)
+    assert {r.itemset: (r.size, r.support) for r in itemsets.frequent_itemsets(b, 2).collect()} == want
+    assert {r.itemset: r.size for r in itemsets.local_candidates(b, F.lit(0), 2).collect()} == {k: n for k, (n, _) in want.items()}
+    assert itemsets.frequent_itemsets(b.where("false"), 2).count() == itemsets.local_candidates(b.where("false"), F.lit(0), 2).count() == 0
+
+
+def test_cuts_equal_brute_force(spark):
+    """Components and modularity of the definition after each removal."""
+    rng = random.Random(6)
+    pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(26)})
+    ranked = graph.edge_betweenness(_edges(spark, pairs))
+    order = [(r.a, r.b) for r in ranked.orderBy(F.desc("betweenness"), "a", "b").collect()]
+    degree = Counter(x for p in pairs for x in p)
+    nodes, m = sorted(degree), len(pairs)
+
+    def parts(left):
+        group = {x: x for x in nodes}
+        for _ in nodes:
+            for a, b in left:
+                group[a] = group[b] = min(group[a], group[b])
+        return group
+
+    def q(group):
+        return sum(((min(a, b), max(a, b)) in pairs) - degree[a] * degree[b] / (2 * m) for a in nodes for b in nodes if group[a] == group[b] and a != b) / (2 * m) - sum(d * d for d in degree.values()) / (4 * m * m)
+
+    curve, groups = graph.modularity_cuts(ranked)
+    every = [(i, parts(order[i:])) for i in range(m + 1)]
+    for removed, n, value in curve:
+        group = every[removed][1]
+        assert len(set(group.values())) == n and math.isclose(value, q(group), abs_tol=1e-9)
+    assert math.isclose(q(groups), max(q(g) for _, g in every), abs_tol=1e-9)
+
+
+def test_factors_solve_their_least_squares(spark):
+    """By brute force: with the items' factors fixed, each user's factors are the regularised optimum or near it, and ratings come back."""
+    rng = np.random.default_rng(3)
+    u, v = rng.uniform(0.5, 1.5, (20, 2)), rng.uniform(0.5, 1.5, (15, 2))
+    cells = [(i, j, float(u[i] @ v[j])) for i in range(20) for j in range(15) if (i * 7 + j) % 5]
+    wanted = _ratings(spark, [(i, j, float(u[i] @ v[j])) for i in range(20) for j in range(15) if not (i * 7 + j) % 5] + [(99, 1, 0.0)])
+    got = recommend.als(_ratings(spark, cells), wanted, rank=2, iterations=20, regularisation=0.001)
+    assert got.where("user_id = 99").count() == 0 and recommend.rmse(got, wanted).first().rmse < 0.05
+
+
+def test_bfr_recovers_what_k_means_would(spark):
+    """Well apart, the clusters are the truth, and rounds and summaries add up."""
+    rng = np.random.default_rng(5)
+    truth = np.repeat(np.arange(4), 50)
+    x = np.array([[0, 0], [30, 0], [0, 30], [30, 30]])[truth] + rng.normal(0, 0.5, (200, 2))
+    order = rng.permutation(200)
+    x, truth = x[order], truth[order]
+    p = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, features array<double>")
+    got, _ = clustering.bfr(p, 4, 2, fine=3)
+    of = {r.id: r.cluster for r in got.collect()}
+    named = Counter((int(truth[i]), c) for i, c in of.items() if c >= 0)
+    assert len({c for _, c in named}) == len(named) == 4 and sum(named.values()) >= 180
+
+
 def test_minhash_by_hand(spark):
     s = spark.createDataFrame([("x", 1), ("x", 5), ("y", 1), ("y", 5), ("y", 9)], "item string, member long")
     signed = similarity.signatures(s, "item", "member", 120)
@@ -144,6 +213,11 @@ def test_numbered_is_total_and_ordered(spark):
     assert got == [(i, i + 1) for i in range(1000)]
 
 
+def test_dense_ids_have_no_gaps(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4), ("d", 5)], "u string, i int").repartition(3)
+    assert {(r.u, r.i, r.dense_id) for r in dense(rows, "u").collect()} == {("b", 1, 1), ("a", 2, 0), ("b", 3, 1), (None, 4, None), ("d", 5, 2)}
+
+
 def _bloom(values, m=199):
     def slots(v):
         x = int.from_bytes(v.encode(), "big")
