@@ -127,25 +127,32 @@ def unpacked(x: bytes) -> np.ndarray:
 
 
 def ascending(x: np.ndarray) -> bytes:
-    """Sorted numbers: the first, then the steps from each to the next in Rice's code, the low
-    bits of all steps side by side and the rest in unary."""
+    """Sorted numbers: the first, then the steps from each to the next in Rice's code: of their low
+    bits the whole bytes as planes and the others side by side, and the rest in unary."""
     step = np.diff(x)
-    low = max(0, (int(x[-1]) - int(x[0])) // max(1, len(step))).bit_length() - 1 if len(step) else 0
-    low = max(0, low)
-    bits = np.unpackbits(step.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
+    low = max(0, ((int(x[-1]) - int(x[0])) // max(1, len(step))).bit_length() - 1)
+    whole, odd = divmod(low, 8)
+    planes = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    bits = np.unpackbits(((step >> U64(8 * whole)) & U64((1 << odd) - 1)).astype(np.uint8).reshape(-1, 1), axis=1)[:, 8 - odd :]
     ends = np.cumsum((step >> U64(low)).astype(np.int64) + 1) - 1
     unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, dtype=np.uint8)
     unary[ends] = 1
-    return int(x[0]).to_bytes(8, "little") + len(step).to_bytes(8, "little") + bytes([low]) + np.packbits(bits.ravel()).tobytes() + np.packbits(unary).tobytes()
+    return b"".join((int(x[0]).to_bytes(8, "little"), len(step).to_bytes(8, "little"), bytes([low]), planes[:whole].tobytes(), np.packbits(bits.ravel()).tobytes(), np.packbits(unary).tobytes()))
 
 
 def ascended(x: bytes) -> np.ndarray:
     first, n, low = int.from_bytes(x[:8], "little"), int.from_bytes(x[8:16], "little"), x[16]
-    cut = 17 + -(-n * low // 8)
-    bits = np.zeros((n, 64), dtype=np.uint8)
-    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(x[17:cut], dtype=np.uint8), count=n * low).reshape(n, low)
-    ends = np.flatnonzero(np.unpackbits(np.frombuffer(x[cut:], dtype=np.uint8)))
-    step = (np.diff(ends, prepend=-1) - 1).astype(U64) << U64(low) | np.packbits(bits, axis=1).view(">u8").ravel().astype(U64)
+    whole, odd = divmod(low, 8)
+    data = np.frombuffer(x, dtype=np.uint8)
+    a, b = 17 + n * whole, 17 + n * whole + -(-n * odd // 8)
+    step = np.zeros((n, 8), dtype=np.uint8)
+    step[:, :whole] = data[17:a].reshape(whole, n).T
+    bits = np.zeros((n, 8), dtype=np.uint8)
+    bits[:, 8 - odd :] = np.unpackbits(data[a:b], count=n * odd).reshape(n, odd)
+    if odd:
+        step[:, whole] = np.packbits(bits, axis=1).ravel()
+    ends = np.flatnonzero(np.unpackbits(data[b:]))
+    step = step.view("<u8").ravel() | (np.diff(ends, prepend=-1) - 1).astype(U64) << U64(low)
     return np.cumsum(np.concatenate(([U64(first)], step)), dtype=U64)
 
 
