@@ -80,10 +80,13 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session on one
+    machine gets one beside its warehouse where that is unset; a cluster must name it."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone-checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
