@@ -13,6 +13,8 @@ same. No task sorts a whole shard: slots are dealt by ranges of the hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,31 +30,37 @@ def matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
     """Rows for each partition (its sum: the partition's count), columns for each shard
     (sums at most one apart), drawn as a uniform shuffle would fill them."""
     total, rng = sum(counts), np.random.default_rng(seed)
-    room = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
     out = []
     for n in counts:
-        drawn = rng.multivariate_hypergeometric(room, n, method="marginals") if room.sum() < 10**9 else _large(rng, room, n)
-        room -= drawn
-        out.append([int(x) for x in drawn])
+        row, left = [], sum(room)
+        for size in room:
+            left -= size
+            row.append(drawn(rng, size, left, n))
+            n -= row[-1]
+        room = [size - got for size, got in zip(room, row, strict=True)]
+        out.append(row)
     return out
 
 
-def _large(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
-    """The same draw where numpy's own generator refuses the size (10**9 and more): in
-    equal parts of the room, halving until each part is small enough."""
-    out, left = np.zeros_like(room), int(room.sum())
-    for s, size in enumerate(room):
-        if n == 0:
-            break
-        rest = left - int(size)
-        if rest == 0:
-            got = n
-        else:  # the normal limit of the hypergeometric law, cut to its bounds; exact sums are kept
-            p = size / left
-            sd = np.sqrt(n * p * (1 - p) * (left - n) / max(1, left - 1))
-            got = int(np.clip(round(rng.normal(n * p, sd)), max(0, n - rest), min(n, size)))
-        out[s], n, left = got, n - got, rest
-    return out
+def drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn without return from ``good`` and ``bad`` are good, at any size.
+
+    The hypergeometric law is inverted: its probabilities follow from the mode by the exact
+    ratios of neighbours, as far as 12 standard deviations on both sides, beyond which
+    less than 1e-30 lies; the sum of what they are makes them probabilities."""
+    least, most = max(0, n - bad), min(n, good)
+    if least == most:
+        return least
+    total = good + bad
+    mode = min(most, max(least, (n + 1) * (good + 1) // (total + 2)))
+    wide = 32 + int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
+    first, last = max(least, mode - wide), min(most, mode + wide)
+    k = np.arange(first, last, dtype=np.float64)
+    up = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weight = np.concatenate(([0.0], np.cumsum(up)))
+    below = np.cumsum(np.exp(weight - weight.max()))
+    return first + int(np.searchsorted(below, rng.random() * below[-1], side="right"))
 
 
 def shuffle(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shards: int = 24, seed: int = 17) -> DataFrame:
