@@ -15,6 +15,7 @@ distinct piece is tokenised once, and ids are gathered by piece.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -61,13 +62,30 @@ def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, e, np.searchsorted(s, offs)
 
 
+def by_pieces(path: str) -> bool:
+    """Whether a tokenizer of this file lower-cases and drops white space between words, as
+    tokenising by :func:`pieces` needs; any other gets whole texts."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal, split = (x or {} for x in (rules.get("normalizer"), rules.get("pre_tokenizer")))
+    normal, split = normal.get("normalizers", [normal]), split.get("pretokenizers", [split])
+    allowed = {"NFC", "Replace", "Lowercase"}
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    first = split[0]
+    drops = first.get("type") == "Split" and first.get("pattern") == {"Regex": words} and first.get("behavior") == "Removed" and first.get("invert")
+    blanks = all(n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in normal if n.get("type") == "Replace")
+    return bool(drops and blanks and {n.get("type") for n in normal} <= allowed and any(n.get("type") == "Lowercase" for n in normal))
+
+
 class Encoder:
-    """Ids of whole texts; distinct pieces are tokenised once for each worker process."""
+    """Ids of whole texts. Where the tokenizer's rules allow it (:func:`by_pieces`), distinct
+    pieces are tokenised once and their ids are kept; otherwise texts are tokenised whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
+        self.whole = not by_pieces(path)
         # Runs of a-z need neither normaliser nor splitting; each ends in the one id that closes a word.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
@@ -137,6 +155,11 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents of a buffer, and the documents' offsets in them."""
+        if self.whole:
+            data = raw.tobytes()
+            found = self.t.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)], add_special_tokens=False)
+            each = [np.array(x.ids, dtype=np.int64) for x in found]
+            return np.concatenate([np.zeros(0, dtype=np.int64), *each]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
         s, e, first = pieces(raw, offs)
         if not len(s):
             return np.zeros(0, dtype=np.int64), np.zeros(len(offs), dtype=np.int64)
@@ -178,26 +201,27 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class Bins:
-    """The open bins of one worker. A piece is (row of the document, start, length)."""
+    """The open bins of one worker. A piece is (key, start, ids, the document's number of ids);
+    what is held are the ids of pieces in open bins alone, a few thousand for each class."""
 
     def __init__(self, worker: int, capacity: int = CAPACITY):
         self.capacity, self.next = capacity, worker << 32
-        self.open: dict[int, list[tuple[int, int, int]]] = {}
-        self.done: list[tuple[int, int, int, int, int]] = []
+        self.open: dict[int, list[tuple]] = {}
+        self.done: list[tuple] = []
 
-    def _close(self, parts: list[tuple[int, int, int]]) -> None:
+    def _close(self, parts: list[tuple]) -> None:
         offset = 0
-        for doc, start, length in parts:
-            self.done.append((doc, start, length, self.next, offset))
-            offset += length
+        for key, start, ids, total in parts:
+            self.done.append((key, start, len(ids), zlib.crc32(ids), total, self.next, offset))
+            offset += len(ids)
         self.next += 1
 
-    def add(self, doc: int, n: int) -> None:
+    def add(self, key: object, ids: np.ndarray) -> None:
         start = 0
-        for length in cuts(n, self.capacity):
+        for length in cuts(len(ids), self.capacity):
             # By length, so that a bin of class j holds pieces of one length and is full with j of them.
             bin_ = self.open.setdefault(length, [])
-            bin_.append((doc, start, length))
+            bin_.append((key, start, ids[start : start + length].copy(), len(ids)))
             if len(bin_) == self.capacity // length:
                 self._close(bin_)
                 del self.open[length]
@@ -206,18 +230,18 @@ class Bins:
     def end(self) -> None:
         """Lays what is in unfilled bins end to end: full sequences, then powers of two."""
         rest = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        self.open, left = {}, sum(p[2] for p in rest)
+        self.open, left = {}, sum(len(p[2]) for p in rest)
         at, used = 0, 0
         while left:
             room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
             left -= room
             parts = []
             while room:
-                doc, start, length = rest[at]
-                take = min(room, length - used)
-                parts.append((doc, start + used, take))
+                key, start, ids, total = rest[at]
+                take = min(room, len(ids) - used)
+                parts.append((key, start + used, ids[used : used + take], total))
                 room, used = room - take, used + take
-                if used == length:
+                if used == len(ids):
                     at, used = at + 1, 0
             self._close(parts)
 
@@ -240,18 +264,12 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Bins(TaskContext.get().partitionId(), capacity)
-        slot = 0
-        held: dict[int, tuple[object, np.ndarray]] = {}
 
         def out() -> pa.RecordBatch:
-            done, bins.done = bins.done, []
-            cols = list(zip(*done, strict=True)) or [()] * 5
-            docs_ = [held[d] for d in cols[0]]
-            crc = [zlib.crc32(ids[s : s + n]) for (_, ids), s, n in zip(docs_, cols[1], cols[2], strict=True)]
-            arrays = [cols[1], cols[2], crc, [len(ids) for _, ids in docs_], cols[3], cols[4]]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in docs_], key_type), *(pa.array(x, pa.int64()) for x in arrays)], names=schema.names)
-
-        key_type = pa.int64()
+            columns = zip(*bins.done, strict=True)
+            bins.done = []
+            return pa.RecordBatch.from_arrays([pa.array(next(columns), key_type), *(pa.array(x, pa.int64()) for x in columns)], names=schema.names)
+
         for b in batches:
             key_type = b.schema.field(0).type
             raw, offs = buffer(b.column("t"))
@@ -260,16 +278,12 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
                 ids, at = encoder(tokenizer).encode(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 ids = ids.astype("<u4")
                 for i in range(hi - lo):
-                    own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
-                    held[slot] = (keys[lo + i], own)
-                    bins.add(slot, len(own))
-                    slot += 1
+                    bins.add(keys[lo + i], np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4"))
                 if bins.done:
                     yield out()
-                alive = {p[0] for parts in bins.open.values() for p in parts}
-                held = {d: held[d] for d in alive}
         bins.end()
         if bins.done:
             yield out()
 
-    return mapped(inner, run, schema).withColumnRenamed("k", key)
+    # A key named like a result gives way to it.
+    return mapped(inner, run, schema).select(*[F.col(n).alias(key if n == "k" else n) for n in schema.names if n != "k" or key not in schema.names[1:]])
