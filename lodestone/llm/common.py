@@ -5,8 +5,9 @@ A batch of texts is one UTF-8 byte buffer with document offsets. Words, their
 that buffer, so a Python worker spends some tens of nanoseconds on a word and
 never loops over rows. Null texts are empty texts throughout.
 
-Hashes are 64 bits wide; two different words of one corpus share a hash with a
-probability of about (distinct words)**2 / 2**65.
+Hashes are multilinear: each place of a word has a weight of its own, so that no pattern of
+repeats cancels. Two different words of one corpus share a hash with a probability of
+about (distinct words)**2 / 2**58 at most, as few bits of a byte's number may be alike.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources import written
+
+__all__ = ["written"]
 U64 = np.uint64
 #: White space of the word contracts: blank and \x09 to \x0D.
 WHITE = np.zeros(256, dtype=bool)
@@ -30,9 +33,8 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15
+_places = np.zeros(0, dtype=U64)
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 1 << 20
 #: Bytes of an Arrow batch, and Spark's own default.
@@ -49,14 +51,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        step = np.full(max(n, CHUNK + 1), _BASE if kind == "up" else _INVERSE, dtype=U64)
-        step[0] = 1
-        have = np.cumprod(step, dtype=U64)
-        if n <= CHUNK + 1:
-            _powers[kind] = have
+_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
+
+
+def _weights(n: int) -> np.ndarray:
+    """Fixed odd numbers for the places of a span."""
+    global _places
+    if len(_places) >= n:
+        return _places
+    have = mix(np.arange(1, 1 + (1 << max(12, n.bit_length())), dtype=U64) * U64(_BASE)) | U64(1)
+    if n <= CHUNK:
+        _places = have
     return have
 
 
@@ -105,12 +110,17 @@ def spans(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial over the buffer."""
+    """64-bit hashes of byte spans that do not overlap: products of what a byte stands for and
+    a weight of its place in the span, summed, with the span's length."""
     n = len(raw)
+    if not len(starts):
+        return np.zeros(0, dtype=U64)
+    begin = np.zeros(n, dtype=np.int64)
+    begin[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(begin)
     run = np.zeros(n + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * _power("up", n + 1)[:n], out=run[1:])
-    h = (run[ends] - run[starts]) * _power("down", n + 1)[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+    np.cumsum(_BYTES[raw] * _weights(int(place.max()) + 1)[place], out=run[1:])
+    return mix(run[ends] - run[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
 def word_hashes(raw: np.ndarray, offs: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +147,6 @@ def fold(key: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % mod
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set here only where it is unset."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone-checkpoints")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of about a MB, where the session has not set their
     bytes: what a worker and its JVM hold must not depend on the length of texts. At a
@@ -187,14 +188,6 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``written``, and the shuffles of the step removed: Spark drops their files only after
     the driver collects garbage, the first time what refers to them, then themselves."""

@@ -132,13 +132,13 @@ class Items:
                     k, m = self.budgets[item], len(self.texts[item])
                     a, b = max(int(at[doc]), start - offset - k), min(int(at[doc + 1]), start - offset + m + k)
                     have = windows.setdefault((int(doc), item), [])
-                    if have and a <= have[-1][1]:
-                        have[-1] = (min(a, have[-1][0]), max(b, have[-1][1]))
+                    if have and have[-1][0] <= a <= have[-1][1]:  # most hits are one after the other
+                        have[-1] = (have[-1][0], max(b, have[-1][1]))
                     else:
                         have.append((a, b))
             for (doc, item), spots in sorted(windows.items()):
                 best, where = self.budgets[item] + 1, -1
-                for a, b in spots:
+                for a, b in joined(spots):
                     exact = data.find(self.texts[item], a, b)
                     if exact >= 0:
                         d, end = 0, exact + len(self.texts[item]) - a
@@ -150,6 +150,17 @@ class Items:
                     yield lo + doc, item, best, where
 
 
+def joined(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Windows in their order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spots):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def blocks(items: DataFrame, key: str, text: str, error_rate: float) -> Iterator[Items]:
     """All items with a letter or digit, in blocks of about ``ITEMS``; null keys take no part."""
     have = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
@@ -168,7 +179,8 @@ def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
     Null and empty texts, and items without a letter or digit, match nothing. Items too
     short for an edit match as whole words. Items that share a key are one: the best
     match counts. Repeated documents match each for itself; empty tables give an empty
-    result. Other columns are not read."""
+    result. A key of the documents that has the name of another column of the result is
+    called ``matched_key``, one of the items ``matched_item``. Other columns are not read."""
     inner = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     schema = T.StructType([inner.schema["k"], T.StructField("item", items.schema[item_key].dataType), T.StructField("distance", T.LongType()), T.StructField("end", T.LongType())])
     out = docs.sparkSession.createDataFrame([], schema)
@@ -187,7 +199,9 @@ def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
                     yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(doc)), pa.array(item), pa.array(d, pa.int64()), pa.array(end, pa.int64())], names=["k", "item", "distance", "end"])
 
         out = out.unionByName(mapped(inner, run, schema))
-    return out.withColumnsRenamed({"k": key, "item": item_key if item_key != key else "matched_item"})
+    taken = ("distance", "end")
+    names = ["matched_key" if key in taken else key, "matched_item" if item_key in (key, *taken) else item_key]
+    return out.toDF(*names, *taken)
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", error_rate: float = 0.06) -> DataFrame:

@@ -40,3 +40,16 @@ def test_spans_stop_at_documents():
     raw, offs = buffer(pa.array(["ab", "cd", "", " e"]))
     s, e, first = spans(~WHITE[raw], offs)
     assert list(zip(s, e)) == [(0, 2), (2, 4), (5, 6)] and list(first) == [0, 1, 2, 2, 3]
+
+
+def test_hashes_tell_patterns_of_repeats_apart():
+    """Words that collide under any polynomial modulo 2**64: the Thue-Morse word and its complement."""
+    word = b"a"
+    for _ in range(11):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    h, _ = word_hashes(*buffer(pa.array([word.decode(), other.decode(), word.decode(), "x " + word.decode()])))
+    assert h[0] != h[1] and h[0] == h[2] == h[4]
+    letters = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmnop0123456789"]
+    h, _ = word_hashes(*buffer(pa.array([" ".join(letters)])))
+    assert len(set(h.tolist())) == len(letters)

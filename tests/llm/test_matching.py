@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,33 @@ def test_encoder_equals_the_tokenizer():
         assert list(ids[at[i] : at[i + 1]]) == coder.t.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    """A cased byte-level tokenizer, whose blanks are part of its tokens."""
+    import public_tokenizers
+
+    coder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["It's A  test", None, "", "\n\n x", "it's a  test"]
+    ids, at = coder.encode(*packing.buffer(pa.array(texts, pa.string())))
+    assert coder.whole and not packing.Encoder(tokenizer_path()).whole
+    for i, t in enumerate(texts):
+        assert list(ids[at[i] : at[i + 1]]) == coder.t.encode(t or "", add_special_tokens=False).ids
+
+
+def test_bins_hold_little():
+    bins, rng = packing.Bins(0), random.Random(2)
+    for i in range(4000):
+        bins.add(i, np.zeros(rng.randint(1, 30_000), dtype="<u4"))
+        bins.done = []
+    assert sum(len(p[2]) for parts in bins.open.values() for p in parts) < 130 * 4096
+
+
+def test_packing_with_clashing_names_and_other_keys(spark):
+    rows = spark.createDataFrame([("a", "one two", 1, 2), ("a", "one two", 1, 2), (None, None, None, None)], "k string, t string, start long, length long")
+    got = packing.pack(rows, tokenizer_path(), key="k", text="t").collect()
+    assert sum(r.length for r in got if r.k == "a") == 6 and [(r.start, r.length) for r in got if r.k is None] == [(0, 1)]
+    assert packing.pack(rows, tokenizer_path(), key="start", text="t").columns[0] == "start"
+
+
 def test_packing_places_each_id_once(spark):
     docs = documents(spark).repartition(3)
     got = packing.pack(docs, tokenizer_path()).toPandas()
@@ -170,3 +199,23 @@ def test_matrix_has_exact_sums_and_the_right_law():
     first = np.array([sharding.matrix([4, 4], 2, s)[0][0] for s in range(2000)])
     want = [1 / 70, 16 / 70, 36 / 70, 16 / 70, 1 / 70]  # hypergeometric
     assert all(abs((first == k).mean() - p) < 0.04 for k, p in enumerate(want))
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(4, 4, 4), (1, 9, 3), (30, 12, 20), (7, 0, 3), (5, 9, 14), (2, 3, 0)])
+def test_draws_have_the_exact_law(good, bad, n):
+    rng = np.random.default_rng(3)
+    got = Counter(sharding.drawn(rng, good, bad, n) for _ in range(8000))
+    want = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+    assert set(got) <= set(want)
+    assert all(abs(got[k] / 8000 - p) < 5 * math.sqrt(p * (1 - p) / 8000) + 1e-9 for k, p in want.items())
+
+
+def test_draws_beyond_ten_to_the_twelve():
+    """Mean and variance of the law, and the exact ratio of two neighbours, where machine integers of 32 bits end."""
+    rng, good, bad, n = np.random.default_rng(4), 4 * 10**11, 96 * 10**11, 3 * 10**7
+    got = np.array([sharding.drawn(rng, good, bad, n) for _ in range(1500)])
+    p = good / (good + bad)
+    sd = math.sqrt(n * p * (1 - p) * (good + bad - n) / (good + bad - 1))
+    assert abs(got.mean() - n * p) < 5 * sd / math.sqrt(1500) and abs(got.std() / sd - 1) < 0.1
+    sent = np.array(sharding.matrix([10**10, 3 * 10**9, 1], 24, 5))
+    assert list(sent.sum(axis=1)) == [10**10, 3 * 10**9, 1] and np.ptp(sent.sum(axis=0)) <= 1
