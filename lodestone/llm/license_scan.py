@@ -53,9 +53,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: What a line must hold to be read as a notice, and names of licence files.
 MARKERS = "licen[cs]ed?|copyright|rights reserved|redistribution|permission is|public domain|creative commons"
-#: A year with its holder after "copyright", up to what else the line says; a comment's last line before code.
-HOLDER = r"(?i)copyright\s+(?:\(c\)\s*|©\s*)?\d{4}[^\n]{0,200}?(?=all rights reserved|licen[cs]e|released|permission|distributed|\n|$)"
-COMMENT_END = r"(?m)^([ \t]*(?:#|//|/?\*|;|--|%)[^\n]*)\n(?=[ \t]*[A-Za-z0-9_])"
+#: A year with its holder after "copyright", up to what else the line says; a comment's last line before code; lines without letters and digits.
+HOLDER = r"(?i)copyright\s+(?:\(c\)\s*|©\s*)?[0-9]{4}[^\n]{0,200}?(all rights reserved|licen[cs]e|released|permission|distributed|\n|$)"
+COMMENT_END = r"(^|\n)([ \t]*(?:#|//|/?\*|;|--|%)[^\n]*)\n([ \t]*[A-Za-z0-9_])"
+BLANK_LINES = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 LICENCE_FILE = r"(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -102,11 +103,12 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     text = F.col("text") if text is None else text
     named = template_rows(spark, templates)
     rows = files.select(F.col(key).alias("k"), path.alias("path"), text.alias("t"), F.xxhash64(F.col(key), path, text).alias("u"))
-    n = files.count()
+    named_rows = written(rows.select("k", "path", "u"), "licence-files")
+    n = named_rows.count()
     df = rows.select(F.explode(F.array_distinct(terms(F.col("t")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     is_file = F.coalesce(F.lower("path").rlike(LICENCE_FILE), F.lit(False))
-    body = F.regexp_replace("t", HOLDER, "copyright ")
-    blocks = F.split(F.regexp_replace(body, COMMENT_END, "$1\n\n"), "\n(?:[^A-Za-z0-9\n]*\n)+")
+    body = F.regexp_replace("t", HOLDER, "copyright $1")
+    blocks = F.split(F.regexp_replace(body, COMMENT_END, "$1$2\n\n$3"), BLANK_LINES)
     parts = F.filter(F.array_distinct(F.concat(F.split(body, "\n"), blocks)), lambda x: F.lower(x).rlike(MARKERS))
     marked = F.when(F.lower("t").rlike(MARKERS), parts).otherwise(F.array().cast("array<string>"))
     lines = rows.select("u", is_file.alias("whole"), F.posexplode(F.when(is_file, F.concat(F.array(body), marked)).otherwise(marked)).alias("line", "t"))
@@ -130,7 +132,7 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     )
     order = F.struct((-F.col("score")).alias("s"), "licence")
     own = cosine.groupBy("u").agg(F.min(order).alias("o"), F.max("whole").alias("whole")).select("u", "o.licence", (-F.col("o.s")).alias("score"), "whole")
-    found = rows.select("k", "path", "u").join(own, "u", "left")
+    found = written(named_rows.join(own, "u", "left"), "licence-found")
     directory = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
     says = found.where(F.col("licence").isNotNull() & F.col("path").isNotNull() & (F.col("whole") | F.col("path").endswith("/")))
     declared = says.groupBy(directory.alias("dir")).agg(F.min(F.struct((~F.col("whole")).alias("index"), (-F.col("score")).alias("s"), "licence")).alias("d")).select("dir", "d.licence", (-F.col("d.s")).alias("score"))
@@ -139,6 +141,13 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
     bare = found.where(F.col("licence").isNull() & F.col("path").isNotNull()).select(directory.alias("own_dir"), above.alias("above")).distinct()
     inherited = bare.select("own_dir", F.explode(F.array_distinct("above")).alias("dir")).join(declared, "dir").groupBy("own_dir").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "licence", "score")).alias("i"))
-    out = found.withColumn("own_dir", F.when(F.col("licence").isNull(), directory)).join(inherited, "own_dir", "left")
-    origin = F.when(F.col("licence").isNotNull(), F.when(F.col("whole"), "file").otherwise("header")).when(F.col("i").isNotNull(), "inherited")
-    return out.select(F.col("k").alias(key), "path", F.coalesce("licence", F.col("i.licence")).alias("licence"), F.coalesce("score", F.col("i.score")).alias("score"), origin.alias("origin"), F.when(F.col("licence").isNull(), F.col("i.dir")).alias("declared_in"))
+    origin = F.when(F.col("whole"), "file").otherwise("header")
+    declares = found.where(F.col("licence").isNotNull()).select("k", "path", "licence", "score", origin.alias("origin"), F.lit(None).cast("string").alias("declared_in"))
+    # Only files without a licence of their own are joined; a hot directory is split by the join's skew rule.
+    other = found.where(F.col("licence").isNull() & F.col("path").isNotNull()).select("k", "path", directory.alias("own_dir")).join(inherited, "own_dir", "left")
+    other = other.select("k", "path", "i.licence", "i.score", F.when(F.col("i").isNotNull(), "inherited").alias("origin"), F.col("i.dir").alias("declared_in"))
+    nowhere = found.where(F.col("licence").isNull() & F.col("path").isNull()).select("k", "path", "licence", "score", F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("declared_in"))
+    out = declares.unionByName(other).unionByName(nowhere)
+    # A key named like a result gives way to it.
+    results = ["path", "licence", "score", "origin", "declared_in"]
+    return out.select(*[F.col("k").alias(key)] * (key not in results), *results)

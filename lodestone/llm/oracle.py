@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm.license_scan import LICENCE_FILE, MARKERS, TEMPLATES
+from lodestone.llm.license_scan import BLANK_LINES, COMMENT_END, HOLDER, LICENCE_FILE, MARKERS, TEMPLATES
 
 JACCARD = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w)),
@@ -25,16 +25,16 @@ def _licences() -> str:
     def weighted(name: str, source: str, ids: str) -> str:
         return (
             f"{name}_t AS (SELECT {ids}, word, count(*) AS tf FROM (SELECT {ids}, unnest(words) AS word FROM {source}) GROUP BY ALL), "
-            f"{name}_w AS (SELECT {ids}, word, tf * coalesce(idf, (SELECT ln((n + 1.0) / 2.0) + 1.0 FROM total)) AS w FROM {name}_t LEFT JOIN idf USING (word)), "
+            f"{name}_w AS (SELECT {ids}, word, tf * (ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0) AS w FROM {name}_t LEFT JOIN df USING (word), total), "
             f"{name} AS (SELECT {ids}, word, w / sqrt(sum(w * w) OVER (PARTITION BY {ids})) AS w FROM {name}_w)"
         )
 
     return f"""WITH f AS (SELECT page_id AS k, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS t FROM pages),
-m AS (SELECT t AS template, l AS licence, {words.format("x")} AS words FROM (VALUES {rows}) v(t, l, x)),
-vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM m), total AS (SELECT count(*) AS n FROM f),
-df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT k, unnest({words.format("t")}) AS word FROM f) SEMI JOIN vocabulary USING (word) GROUP BY word),
-idf AS (SELECT word, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM total, vocabulary LEFT JOIN df USING (word)),
-ln AS (SELECT k, whole, generate_subscripts(ls, 1) AS line, unnest(ls) AS t FROM (SELECT k, coalesce(regexp_matches(lower(path), '{LICENCE_FILE}'), false) AS whole, CASE WHEN regexp_matches(lower(path), '{LICENCE_FILE}') THEN [t] ELSE list_filter(string_split(t, chr(10)), lambda x: regexp_matches(lower(x), '{MARKERS}')) END AS ls FROM f)),
+m AS (SELECT t AS template, l AS licence, {words.format("x")} AS words FROM (VALUES {rows}) v(t, l, x)), total AS (SELECT count(*) AS n FROM f),
+df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT k, unnest({words.format("t")}) AS word FROM f) GROUP BY word),
+bd AS (SELECT k, coalesce(regexp_matches(lower(path), '{LICENCE_FILE}'), false) AS whole, regexp_matches(lower(t), '{MARKERS}') AS marked, regexp_replace(t, '{HOLDER}', 'copyright \\1', 'g') AS t FROM f),
+bl AS (SELECT k, whole, t, CASE WHEN marked THEN list_filter(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(regexp_replace(t, '{COMMENT_END}', '\\1\\2' || chr(10) || chr(10) || '\\3', 'g'), '{BLANK_LINES}'))), lambda x: regexp_matches(lower(x), '{MARKERS}')) ELSE [] END AS ls FROM bd WHERE t IS NOT NULL),
+ln AS (SELECT k, whole, generate_subscripts(ls, 1) AS line, unnest(ls) AS t FROM (SELECT k, whole, CASE WHEN whole THEN list_concat([t], ls) ELSE ls END AS ls FROM bl)),
 tx AS (SELECT k, line, whole, {words.format("t")} AS words FROM ln),
 {weighted("a", "tx", "k, line, whole")}, {weighted("b", "m", "template, licence")},
 c AS (SELECT k, line, whole, template, licence, round(sum(a.w * b.w), 6) AS score FROM a JOIN b USING (word) GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.7),
