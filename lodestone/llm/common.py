@@ -147,6 +147,17 @@ def fold(key: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % mod
 
 
+def free_names(columns: list[str], n: int) -> list[str]:
+    """Names that no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for i in range(n):
+        name = f"__own_{i}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of about a MB, where the session has not set their
     bytes: what a worker and its JVM hold must not depend on the length of texts. At a

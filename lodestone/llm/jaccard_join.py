@@ -34,11 +34,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, mapped, mix, owner, word_hashes, written
+from lodestone.llm.common import U64, buffer, chunks, free_names, mapped, mix, owner, word_hashes, written
 
 _SALT, _K1, _K2, _K3 = (U64(x) for x in (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: Bits of the filters that spare later passes what has no partner: 16 MB, whatever the input.
-FILTER_BITS = 27
+#: Bits of the filters that spare later passes what has no partner, as a power of two: 32 MB at most, less for few keys.
+FILTER_BITS = 28
 
 
 def shingles(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -185,19 +185,21 @@ class Filter:
 
     def __init__(self, found: DataFrame, column: str):
         spark = found.sparkSession
-        word = F.shiftrightunsigned(column, 64 - FILTER_BITS + 6)
-        bit = F.shiftrightunsigned(column, 64 - FILTER_BITS).bitwiseAND(63).cast("int")
-        got = found.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toArrow()  # 2**21 rows at most
-        bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        # Some 16 bits for each key, so that one in 16 others passes, as long as there is room.
+        size = min(FILTER_BITS, max(12, (16 * found.count()).bit_length()))
+        word = F.shiftrightunsigned(column, 64 - size + 6)
+        bit = F.shiftrightunsigned(column, 64 - size).bitwiseAND(63).cast("int")
+        got = found.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toArrow()  # 2**22 rows at most
+        bits = np.zeros(1 << (size - 6), dtype=np.int64)
         bits[np.asarray(got["w"]).astype(np.int64)] = np.asarray(got["b"]).astype(np.int64)
-        self.bits = spark.sparkContext.broadcast(bits.view(U64))
+        self.size, self.bits = size, spark.sparkContext.broadcast(bits.view(U64))
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        w = (key >> U64(64 - FILTER_BITS + 6)).astype(np.int64)
-        return (self.bits.value[w] >> ((key >> U64(64 - FILTER_BITS)) & U64(63))) & U64(1) == 1
+        w = (key >> U64(64 - self.size + 6)).astype(np.int64)
+        return (self.bits.value[w] >> ((key >> U64(64 - self.size)) & U64(63))) & U64(1) == 1
 
     def __getstate__(self) -> dict:
-        return {"bits": self.bits}
+        return {"size": self.size, "bits": self.bits}
 
 
 def _once(s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -336,7 +338,7 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, top: int, c
     members = written(lookups(members.dropDuplicates(["key", "node", "below", "segment"]), shared), "jaccard-lookups")
     hubs = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.max("looked").alias("any")).where("a < z and any").select("key", "a")
     near = written(members.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
-    wanted = members.join(hubs, "key", "left_semi").select("node").distinct()
+    wanted = written(members.join(hubs, "key", "left_semi").select("node").distinct(), "jaccard-wanted")
     sets = written(_sets(docs, words, Filter(wanted, "node")).dropDuplicates(["node"]), "jaccard-sets")
     links = written(verified(near, sets, num, den), "jaccard-links")
     comps = written(components(links), "jaccard-components")
@@ -412,21 +414,10 @@ def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     same = F.col("r.k").eqNullSafe(F.col("k")) & (F.col("r.h") == F.col("h"))
     kept = written(first.join(copies, same).select("k", "h", "rows"), "jaccard-kept")
     kept = kept.unionByName(found.where("comp is null").select("k", "h", F.lit(1).cast("long").alias("rows")).distinct())
-    names = _free(docs.columns, 3)
+    names = free_names(docs.columns, 3)
     own = docs.withColumn(names[2], F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = kept.select(F.col("k").alias(names[0]), F.col("h").alias(names[1]), "rows")
     on = F.col(names[0]).eqNullSafe(own[key]) & (F.col(names[1]) == F.col(names[2]))
     out = own.join(kept.where("rows = 1"), on, "left_semi")
     more = own.join(kept.where("rows > 1"), on, "left_semi")
     return out.unionByName(more.dropDuplicates([key, names[2]])).select(*docs.columns)
-
-
-def _free(columns: list[str], n: int) -> list[str]:
-    """Names that are no column's."""
-    taken, out = {c.lower() for c in columns}, []
-    for i in range(n):
-        name = f"__jaccard_{i}"
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, buffer, chunks, mapped, written
+from lodestone.llm.common import LOWER, buffer, chunks, free_names, mapped, written
 
 BLOCK = 256
 #: A letter, by Unicode.
@@ -233,4 +233,4 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", most_bits: fl
             keep = (np.array(names, dtype=object) != "und") & (bits <= most_bits + spare_phrases * phrase)
             yield pa.RecordBatch.from_arrays(b.columns[:last], names=b.schema.names[:last]).filter(pa.array(keep))
 
-    return mapped(docs.select("*", _has_letter(F.col(text)).alias("__has_letter")), run, docs.schema)
+    return mapped(docs.select("*", _has_letter(F.col(text)).alias(free_names(docs.columns, 1)[0])), run, docs.schema)

@@ -77,7 +77,7 @@ def test_one_of_each_group_stays(spark):
 def test_repeated_keys_lose_no_clean_row_and_keep_no_copy(spark):
     """A key may stand on unlinked texts, on a copy of another key's text, on empty ones."""
     rows = [(5, "one two three four five six", "en"), (5, "quite another text under this key", "en"), (3, "a b c d e f", "en"), (5, "a b c d e f", "en"), (7, "", "en"), (7, None, "en"), (7, " ", "en"), (7, "", "en"), (None, "a b c d e f", "en"), (None, "p q", "en"), (None, "p q", "en"), (None, "r s", "en")]
-    odd = documents(spark, rows=rows).withColumnRenamed("source", "k").withColumn("__jaccard_0", F.lit(1)).withColumnRenamed("n_chars", "comp")
+    odd = documents(spark, rows=rows).withColumnRenamed("source", "k").withColumn("__own_0", F.lit(1)).withColumnRenamed("n_chars", "comp")
     kept = jaccard_join.representatives(odd)
     assert kept.columns == odd.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, rows[0][1]), (5, rows[1][1]), (3, "a b c d e f"), (7, ""), (7, ""), (7, None), (7, " "), (None, "p q"), (None, "r s")], key=repr)
