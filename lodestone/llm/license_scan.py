@@ -141,6 +141,7 @@ def scan(files: DataFrame, *, key: str = "page_id", path: Column | None = None,
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
     bare = found.where(F.col("licence").isNull() & F.col("path").isNotNull()).select(directory.alias("own_dir"), above.alias("above")).distinct()
     inherited = bare.select("own_dir", F.explode(F.array_distinct("above")).alias("dir")).join(declared, "dir").groupBy("own_dir").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "licence", "score")).alias("i"))
+    inherited = written(inherited, "licence-inherited")  # one row for each directory; read anew, the join can be dealt or handed out as its size allows
     origin = F.when(F.col("whole"), "file").otherwise("header")
     declares = found.where(F.col("licence").isNotNull()).select("k", "path", "licence", "score", origin.alias("origin"), F.lit(None).cast("string").alias("declared_in"))
     # Only files without a licence of their own are joined; a hot directory is split by the join's skew rule.
