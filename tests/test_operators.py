@@ -62,6 +62,20 @@ def test_itemsets_of_any_size_by_brute_force(spark):
     assert itemsets.frequent_itemsets(b.where("false"), 2).count() == itemsets.local_candidates(b.where("false"), F.lit(0), 2).count() == 0
 
 
+def test_hot_items_are_not_paired(spark, monkeypatch):
+    rng = random.Random(4)
+    held = {(u, i) for u in range(30) for i in (0, 1, 2) if rng.random() < 0.9} | {(u, rng.randrange(3, 40)) for u in range(30) for _ in range(6)}
+    rows = spark.createDataFrame(sorted(held), "u long, i long")
+    want = {}
+    for a, b in itertools.combinations(range(30), 2):
+        n = sum((a, i) in held and (b, i) in held for i in range(40))
+        if n >= 4:
+            want[a, b] = n
+    for hot in (1_000, 10, 1):
+        monkeypatch.setattr(graph, "HOT_NODES", hot)
+        assert {(r.a, r.b): r.common for r in graph.cooccurrence(rows, "u", "i", 4).collect()} == want and want
+
+
 def test_cuts_equal_brute_force(spark):
     """Components and modularity of the definition after each removal."""
     rng = random.Random(6)
