@@ -65,6 +65,33 @@ def test_matches_equal_brute_force(spark):
     assert decontaminate.matches(docs, bench.where("false")).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == len(rows)
 
 
+def test_items_in_very_long_texts_ties_and_clashing_names(spark):
+    rng = random.Random(12)
+    item = prose(rng, "en", 30)
+    at = next(i for i in range(40, 60) if item[i].isalpha())
+    near = f"{item[:at]}q{item[at + 1 :]}"
+    long = " ".join([prose(rng, "de", 60_000), near, prose(rng, "de", 5_000), item, prose(rng, "de", 60_000), item])
+    rows = [(1, long, 5, 6), (2, f"{near} and {near}", 5, 6), (3, "x " * 400_000, None, None), (2, f"{near} and {near}", 5, 6)]
+    docs = spark.createDataFrame(rows, "end long, text string, item long, distance long")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None)], "distance long, text string")
+    got = decontaminate.matches(docs, bench, key="end", item_key="distance")
+    assert got.columns == ["matched_key", "matched_item", "distance", "end"]
+    found = sorted(map(tuple, got.collect()))
+    assert [r[:3] for r in found] == [(1, 7, 0), (2, 7, 1), (2, 7, 1)]
+    # Of equally good places the first: the exact one before the second exact one, the first of two near ones.
+    assert found[0][3] == 1 + len(decontaminate.text_of(long[: long.index(item)])) + 1 + len(decontaminate.text_of(item))
+    assert found[1][3] == 1 + len(decontaminate.text_of(near))
+
+
+def test_licences_in_very_long_texts_and_clashing_names(spark):
+    long = "word " * 300_000 + "\nReleased under the MIT License.\n" + "more\n" * 100_000
+    rows = [(1, "a/x", long, "n"), (2, "a/x", long, "n"), (2, "a/x", long, "n"), (3, "b/LICENSE", "\n".join(["Released under the MIT License."] + ["text"] * 50_000), "n")]
+    files = spark.createDataFrame(rows, "score long, path string, text string, origin string")
+    got = license_scan.scan(files, key="score")
+    assert got.columns == ["path", "licence", "score", "origin", "declared_in"]
+    assert sorted((r.path, r.licence, r.origin) for r in got.collect()) == [("a/x", "MIT", "header")] * 3 + [("b/LICENSE", "MIT", "file")]
+
+
 def test_licences_are_found_and_inherited(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c.py", "hello"), (3, "a/b/", "x\nReleased under the MIT License.\ny"), (4, "z.txt", "All rights reserved."), (5, None, None), (6, "q/w.txt", "some license"), (7, "a/k.txt", ""), (7, "a/k.txt", ""), (8, "a/b/d/e/f", "no"), (9, "COPYING.md", "This work is licensed under the GNU General Public License, version 3."), (10, "ab/c", "x")]
     files = spark.createDataFrame([(i, p, t, "clash") for i, p, t in rows], "page_id long, path string, text string, licence string")
