@@ -136,6 +136,16 @@ def test_minhash_by_hand(spark):
     assert [tuple(r) for r in similarity.exact_pairs(s, "item", "member").collect()] == [("x", "y", round(2 / 3, 6))]
 
 
+def test_candidates_of_copies_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [[rng.randrange(4) for _ in range(12)] for _ in range(12)]
+    signed = {f"x{i:02}": rng.choice(base) for i in range(40)}
+    rows = spark.createDataFrame(list(signed.items()), "item string, signature array<long>")
+    want = {(a, b) for a, b in itertools.combinations(sorted(signed), 2) if any(signed[a][i : i + 3] == signed[b][i : i + 3] for i in range(0, 12, 3))}
+    got = [tuple(r) for r in similarity.candidates(rows, "item", 4, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_hash_functions(spark):
     row = spark.range(1).select(
         linear_hash(string_mod(F.lit("ab"), 127), 7, 3, 127, 199).alias("ab"), linear_hash(string_mod(F.lit("é"), 127), 7, 3, 127, 199).alias("e"), string_mod(F.lit(""), 127).alias("none"),
