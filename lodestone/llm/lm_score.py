@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, buffer, chunks, discard, lean, mix, owner, settled, text_bytes, unzipped, word_hashes, written, zipped
+from lodestone.llm.common import U64, buffer, chunks, discard, mix, owner, settled, text_bytes, unzipped, word_hashes, written, zipped
 
 #: Bytes of text in a block of documents, about, and blocks whose n-grams make a shard's.
 BLOCK_BYTES, BLOCKS_A_SHARD = 4 << 20, 4
@@ -111,18 +111,19 @@ SENT = "kind int, shard long, block long, keys binary, a binary, b binary, stats
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers of 0 or more in the least width that holds them, byte planes apart."""
+    """Whole numbers of 0 or more in the least width that holds them, byte planes apart and compressed."""
     top = int(x.max()) if len(x) else 0
     width = -(-top.bit_length() // 8)
-    head = bytes([width]) + len(x).to_bytes(8, "little")
-    return head + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(x: bytes) -> np.ndarray:
     width, n = x[0], int.from_bytes(x[1:9], "little")
     out = np.zeros((n, 8), dtype=np.uint8)
     if width:
-        out[:, :width] = np.frombuffer(x, dtype=np.uint8, offset=9).reshape(width, n).T
+        planes = pa.decompress(x[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
@@ -264,7 +265,7 @@ def tallied(sent: DataFrame, by: Keys) -> DataFrame:
         stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
         return _table([*out, (kind, shard, None, None, None, None, stats)])
 
-    return sent.groupBy("kind", "shard").applyInArrow(lean(count), SENT)
+    return sent.groupBy("kind", "shard").applyInArrow(count, SENT)
 
 
 def _sums(i: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -318,9 +319,9 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
         return _table([*rows, (0, 0, None, None, None, None, [single, single, single, 0])])
 
     blocks = inner.select("block", "train", "t").groupBy("block")
-    counts = settled(tallied(blocks.applyInArrow(lean(first_round), SENT), by), "lm-counts")
+    counts = settled(tallied(blocks.applyInArrow(first_round, SENT), by), "lm-counts")
     back = counts.where("block is not null").select("kind", "block", "shard", "a", "b")
-    sent = settled(blocks.cogroup(back.groupBy("block")).applyInArrow(lean(second_round), SENT), "lm-sent")
+    sent = settled(blocks.cogroup(back.groupBy("block")).applyInArrow(second_round, SENT), "lm-sent")
     more = settled(tallied(sent.where(F.col("kind").isin(TRIPLES, AFTER_ONE)), by), "lm-triples")
     part = more.where("block is null and keys is not null")
     last = settled(tallied(sent.where(F.col("kind") == AFTER_TWO).unionByName(part), by), "lm-contexts")
@@ -350,7 +351,7 @@ def _whole(inner: DataFrame, ids: list[str], n_bytes: int) -> DataFrame:
         return pa.table(arrays)
 
     answers = reduce(DataFrame.unionByName, [t.where("block is not null").select("kind", "block", "shard", "a", "b") for t in (counts, more, last)])
-    return inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(run), _scored(inner, ids))
+    return inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _scored(inner, ids))
 
 
 def _rest(n: np.ndarray, after: tuple[np.ndarray, np.ndarray], discount: float) -> np.ndarray:
