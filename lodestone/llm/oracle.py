@@ -18,6 +18,36 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
+def _quality(order: int = 4) -> str:
+    """Kneser-Ney by joins: counts from the top order down, then probabilities from the lowest up."""
+    base = "65536::HUGEINT"
+    power = lambda k: " * ".join([base] * k) if k else "1::HUGEINT"
+    lags = " + ".join(f"coalesce(lag(c, {j}) OVER w, 0) * ({power(j)})" for j in range(1, order))
+    out = [f"""WITH ch AS (SELECT k, doc_id, i, CASE WHEN u < 65536 THEN greatest(u, 1) ELSE 57344 + u % 6400 END::HUGEINT AS c FROM (SELECT k, doc_id, i, ord(x)::BIGINT AS u FROM (SELECT k, doc_id, generate_subscripts(xs, 1) AS i, unnest(xs) AS x FROM (SELECT doc_id AS k, doc_id, regexp_extract_all(text, '(?s).') AS xs FROM documents)))),
+mk AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+g AS (SELECT k, doc_id, c + {lags} AS gram FROM ch WINDOW w AS (PARTITION BY k ORDER BY i)),
+t{order} AS (SELECT gram, count(*) AS n FROM g SEMI JOIN mk USING (doc_id) GROUP BY gram)"""]
+    out += [f"t{k} AS (SELECT gram % ({power(k)}) AS gram, count(*) AS n FROM t{k + 1} GROUP BY 1)" for k in range(order - 1, 0, -1)]
+    for k in range(1, order + 1):
+        n = ", ".join(f"greatest(count(*) FILTER (WHERE n = {i}), CASE WHEN count(*) FILTER (WHERE n = {i}) = 0 THEN 1 ELSE 0 END)::DOUBLE AS n{i}" for i in (1, 2, 3, 4))
+        d = ", ".join(f"least(greatest({i} - {i + 1} * y * n{i + 1} / n{i}, 0.05), {i - 0.05}) AS d{i}" for i in (1, 2, 3))
+        out.append(f"d{k} AS (SELECT {d} FROM (SELECT *, n1 / (n1 + 2 * n2) AS y FROM (SELECT {n} FROM t{k})))")
+        out.append(f"s{k} AS (SELECT gram, gram // {base} AS context, n, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS spent FROM t{k}, d{k})")
+        out.append(f"h{k} AS (SELECT context, sum(n)::DOUBLE AS total, sum(spent) AS spent FROM s{k} GROUP BY context)")
+        out.append(f"p{k} AS (SELECT gram, (n - s{k}.spent) / total AS p FROM s{k} JOIN h{k} USING (context))")
+    out.append(f"u{order} AS (SELECT DISTINCT gram FROM g)")
+    out += [f"u{k} AS (SELECT DISTINCT gram % ({power(k)}) AS gram FROM u{k + 1})" for k in range(order - 1, 0, -1)]
+    out.append("q0 AS (SELECT 0::HUGEINT AS gram, 1.0::DOUBLE / 65536 AS q)")
+    for k in range(1, order + 1):
+        out.append(f"q{k} AS (SELECT u.gram, coalesce(p.p, 0) + coalesce(h.spent / h.total, 1) * l.q AS q FROM u{k} u LEFT JOIN p{k} p ON p.gram = u.gram LEFT JOIN h{k} h ON h.context = u.gram // {base} JOIN q{k - 1} l ON l.gram = u.gram % ({power(k - 1)}))")
+    out.append(f"pp AS (SELECT k, pow(2, sum(-log2(q)) / count(*)) AS x FROM g JOIN q{order} USING (gram) GROUP BY k)")
+    out.append("sc AS (SELECT d.doc_id AS k, d.doc_id, lang, x FROM documents d LEFT JOIN pp ON pp.k = d.doc_id)")
+    cut = "quantile_disc(x, 0.005) AS lo, quantile_disc(x, 0.995) AS hi"
+    out.append(f"own AS (SELECT lang, {cut} FROM sc SEMI JOIN mk USING (doc_id) WHERE x IS NOT NULL GROUP BY lang), al AS (SELECT {cut} FROM sc SEMI JOIN mk USING (doc_id) WHERE x IS NOT NULL)")
+    out.append("r AS (SELECT doc_id, sc.lang, x, coalesce(own.lo, al.lo) AS lo, coalesce(own.hi, al.hi) AS hi FROM sc LEFT JOIN own ON own.lang IS NOT DISTINCT FROM sc.lang, al)")
+    return ",\n".join(out) + " SELECT doc_id, lang, round(x, 4) AS perplexity, round(lo, 4) AS threshold_low, round(hi, 4) AS threshold_high, x IS NOT NULL AND coalesce(x BETWEEN lo AND hi, true) AS keep FROM r"
+
+
 def _licences() -> str:
     rows = ", ".join(f"('{name}#{i}', '{name}', '{text}')" for name, texts in sorted(TEMPLATES.items()) for i, text in enumerate(texts))
     words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -45,4 +75,4 @@ h AS (SELECT k, licence, score, dir FROM (SELECT g.k, d.licence, d.score, d.dir,
 SELECT g.k AS page_id, g.path, coalesce(g.licence, h.licence) AS licence, coalesce(g.score, h.score) AS score, CASE WHEN g.licence IS NOT NULL THEN CASE WHEN g.whole THEN 'file' ELSE 'header' END WHEN h.licence IS NOT NULL THEN 'inherited' END AS origin, h.dir AS declared_in FROM g LEFT JOIN h USING (k)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": JACCARD, "op7_topk": TOPK, "op8_license_scan": _licences()}
+ORACLE_SQL: dict[str, str] = {"op2_quality": _quality(), "op4_jaccard_join": JACCARD, "op7_topk": TOPK, "op8_license_scan": _licences()}
