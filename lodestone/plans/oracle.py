@@ -88,6 +88,19 @@ par AS (SELECT d.root, d.node, s.other AS parent, count(*) OVER (PARTITION BY d.
 flow AS (SELECT root, node, parent, 1.0::DOUBLE / k AS w FROM par UNION ALL SELECT p.root, p.node, p.parent, f.w / p.k FROM flow f JOIN par p ON p.root = f.root AND p.node = f.parent)
 SELECT least(node, parent) AS a, greatest(node, parent) AS b, round(sum(w) / 2, 4) AS betweenness FROM flow GROUP BY 1, 2"""
 
+# Components after each cut, by labels that spread as many steps as there are nodes; a cut counts where it changes their number.
+CUTS = f"""{BETWEENNESS.rpartition("SELECT least(")[0].rstrip()},
+bt AS (SELECT least(node, parent) AS a, greatest(node, parent) AS b, round(sum(w) / 2, 4) AS betweenness FROM flow GROUP BY 1, 2),
+rk AS (SELECT a, b, row_number() OVER (ORDER BY betweenness DESC, a, b) - 1 AS rank FROM bt), m AS (SELECT count(*) AS m FROM rk),
+dg AS (SELECT node, count(*) AS degree FROM sym GROUP BY node), nn AS (SELECT count(*) AS n FROM dg),
+st AS (SELECT a AS node, b AS other, rank FROM rk UNION ALL SELECT b, a, rank FROM rk UNION ALL SELECT node, node, (SELECT m FROM m) FROM dg),
+lab AS (SELECT 0 AS t, i, node, node AS label FROM dg, m, range(m + 1) r(i) UNION ALL SELECT lab.t + 1, lab.i, st.other, min(lab.label) FROM lab JOIN st ON st.node = lab.node AND st.rank >= lab.i WHERE lab.t < (SELECT n FROM nn) GROUP BY ALL),
+fin AS (SELECT i, node, label FROM lab WHERE t = (SELECT n FROM nn)),
+ins AS (SELECT x.i, count(*) AS inside FROM rk JOIN fin x ON x.node = rk.a JOIN fin y ON y.node = rk.b AND y.i = x.i WHERE x.label = y.label GROUP BY x.i),
+sq AS (SELECT i, count(*) AS communities, sum(ends * ends)::DOUBLE AS spread FROM (SELECT i, label, sum(degree) AS ends FROM fin JOIN dg USING (node) GROUP BY ALL) GROUP BY i),
+cv AS (SELECT i, communities, lead(communities) OVER (ORDER BY i) AS after, coalesce(inside, 0) / m - spread / (4.0 * m * m) AS q FROM sq LEFT JOIN ins USING (i), m),
+curve AS (SELECT i, communities, q FROM cv WHERE after IS NULL OR communities < after)"""
+
 DIMS = "e AS (SELECT vec_id AS id, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)"
 SUMMARY = f"WITH {DIMS} SELECT label, dim::BIGINT AS dim, count(*) AS n, round(sum(x), 4) AS s, round(sum(x * x), 4) AS ss FROM e GROUP BY ALL"
 ASSIGN = f"""WITH {DIMS}, c AS (SELECT vec_id AS id, ceil(row_number() OVER (ORDER BY vec_id) / ceil((SELECT count(*) FROM embeddings) / 5.0)) AS chunk FROM embeddings),
@@ -144,6 +157,8 @@ ORACLE_SQL: dict[str, str] = {
     "label_communities": f"WITH {_labels()} SELECT count(*) AS size, string_agg(node::VARCHAR, ',' ORDER BY node::VARCHAR) AS members FROM l5 GROUP BY label",
     "connected_components": f"WITH RECURSIVE {EDGES}, reach AS (SELECT DISTINCT node, node AS other FROM sym UNION SELECT r.node, s.other FROM reach r JOIN sym s ON s.node = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node",
     "edge_betweenness": BETWEENNESS,
+    "modularity_curve": f"{CUTS} SELECT i AS removed, communities, round(q, 6) AS modularity FROM curve",
+    "modularity_communities": f"{CUTS}, best AS (SELECT i FROM curve ORDER BY round(q, 12) DESC, i LIMIT 1) SELECT count(*) AS size, string_agg(node::VARCHAR, ',' ORDER BY node::VARCHAR) AS members FROM fin JOIN best USING (i) GROUP BY label",
     "bfr_summary": SUMMARY,
     "bfr_mahalanobis_assign": ASSIGN,
     "bloom_fpr_by_day": BLOOM,
