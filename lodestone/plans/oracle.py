@@ -86,11 +86,11 @@ walk AS (SELECT DISTINCT node AS root, node, 0 AS level FROM sym UNION SELECT w.
 dist AS (SELECT root, node, min(level) AS level FROM walk GROUP BY ALL),
 par AS (SELECT d.root, d.node, s.other AS parent, count(*) OVER (PARTITION BY d.root, d.node) AS k FROM dist d JOIN sym s ON s.node = d.node JOIN dist e ON e.root = d.root AND e.node = s.other AND e.level = d.level - 1),
 flow AS (SELECT root, node, parent, 1.0::DOUBLE / k AS w FROM par UNION ALL SELECT p.root, p.node, p.parent, f.w / p.k FROM flow f JOIN par p ON p.root = f.root AND p.node = f.parent)
-SELECT least(node, parent) AS a, greatest(node, parent) AS b, round(sum(w) / 2, 4) AS betweenness FROM flow GROUP BY 1, 2"""
+SELECT least(node, parent) AS a, greatest(node, parent) AS b, round(sum(w) / 2 + 1e-9, 4) AS betweenness FROM flow GROUP BY 1, 2"""
 
 # Components after each cut, by labels that spread as many steps as there are nodes; a cut counts where it changes their number.
 CUTS = f"""{BETWEENNESS.rpartition("SELECT least(")[0].rstrip()},
-bt AS (SELECT least(node, parent) AS a, greatest(node, parent) AS b, round(sum(w) / 2, 4) AS betweenness FROM flow GROUP BY 1, 2),
+bt AS (SELECT least(node, parent) AS a, greatest(node, parent) AS b, round(sum(w) / 2 + 1e-9, 4) AS betweenness FROM flow GROUP BY 1, 2),
 rk AS (SELECT a, b, row_number() OVER (ORDER BY betweenness DESC, a, b) - 1 AS rank FROM bt), m AS (SELECT count(*) AS m FROM rk),
 dg AS (SELECT node, count(*) AS degree FROM sym GROUP BY node), nn AS (SELECT count(*) AS n FROM dg),
 st AS (SELECT a AS node, b AS other, rank FROM rk UNION ALL SELECT b, a, rank FROM rk UNION ALL SELECT node, node, (SELECT m FROM m) FROM dg),
