@@ -367,8 +367,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
     does not link them. Null keys are never a component's id; a component of null keys
     alone has none. An empty table gives an empty result. Other columns are not read.
     """
-    rows = grouped(docs, key, text, words, num, den)
-    least = rows.where("size > 0").groupBy("comp").agg(F.min("k").alias("least"))
+    rows = written(grouped(docs, key, text, words, num, den), "jaccard-classes")
+    # Both sides are read anew, so that a component of very many rows can be split in the join.
+    least = written(rows.where("size > 0").groupBy("comp").agg(F.min("k").alias("least")), "jaccard-least")
     full = rows.where("size > 0").join(least, "comp")
     own = rows.where("size = 0").withColumn("least", F.col("k"))
     return full.select("k", "size", "least").unionByName(own.select("k", "size", "least")).toDF(key, "n_shingles", "component_id")
