@@ -5,9 +5,10 @@ A batch of texts is one UTF-8 byte buffer with document offsets. Words, their
 that buffer, so a Python worker spends some tens of nanoseconds on a word and
 never loops over rows. Null texts are empty texts throughout.
 
-Hashes are multilinear: each place of a word has a weight of its own, so that no pattern of
-repeats cancels. Two different words of one corpus share a hash with a probability of
-about (distinct words)**2 / 2**58 at most, as few bits of a byte's number may be alike.
+Hashes are 64 bits wide: a polynomial for words below ``LONG`` bytes, and a weight for each
+place for longer ones, since patterns of repeats can cancel in long polynomials. Two
+different words of one corpus share a hash with a probability of about
+(distinct words)**2 / 2**58 at most, as differences of bytes may share up to seven bits.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_places = np.zeros(0, dtype=U64)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers: dict[str, np.ndarray] = {}
+#: Bytes from which on a span's places have weights of their own: from 1,024 on, patterns of repeats can cancel in a polynomial modulo 2**64.
+LONG = 256
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 1 << 20
 #: Bytes of an Arrow batch, and Spark's own default.
@@ -51,17 +55,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
-
-
-def _weights(n: int) -> np.ndarray:
-    """Fixed odd numbers for the places of a span."""
-    global _places
-    if len(_places) >= n:
-        return _places
-    have = mix(np.arange(1, 1 + (1 << max(12, n.bit_length())), dtype=U64) * U64(_BASE)) | U64(1)
-    if n <= CHUNK:
-        _places = have
+def _power(kind: str, n: int) -> np.ndarray:
+    have = _powers.get(kind)
+    if have is None or len(have) < n:
+        step = np.full(max(n, CHUNK + 1), _BASE if kind == "up" else _INVERSE, dtype=U64)
+        step[0] = 1
+        have = np.cumprod(step, dtype=U64)
+        if n <= CHUNK + 1:
+            _powers[kind] = have
     return have
 
 
@@ -110,17 +111,19 @@ def spans(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that do not overlap: products of what a byte stands for and
-    a weight of its place in the span, summed, with the span's length."""
-    n = len(raw)
-    if not len(starts):
-        return np.zeros(0, dtype=U64)
-    begin = np.zeros(n, dtype=np.int64)
-    begin[starts] = starts
-    place = np.arange(n) - np.maximum.accumulate(begin)
+    """64-bit hashes of byte spans, from one running polynomial over the buffer; of long spans
+    from a weight for each place."""
+    n, size = len(raw), ends - starts
     run = np.zeros(n + 1, dtype=U64)
-    np.cumsum(_BYTES[raw] * _weights(int(place.max()) + 1)[place], out=run[1:])
-    return mix(run[ends] - run[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+    np.cumsum((raw.astype(U64) + U64(1)) * _power("up", n + 1)[:n], out=run[1:])
+    h = (run[ends] - run[starts]) * _power("down", n + 1)[starts]
+    long = np.flatnonzero(size >= LONG)
+    if len(long):
+        place = np.arange(size[long].sum()) - np.repeat(np.cumsum(size[long]) - size[long], size[long])
+        weight = mix((place.astype(U64) + U64(1)) * U64(_BASE)) | U64(1)
+        part = (raw[place + np.repeat(starts[long], size[long])].astype(U64) + U64(1)) * weight
+        h[long] = np.add.reduceat(part, np.cumsum(size[long]) - size[long])
+    return mix(h + size.astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
 def word_hashes(raw: np.ndarray, offs: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
