@@ -91,14 +91,29 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths of the tables that this process has settled and not released.
+_settled: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here and any executor can read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes all tables that :func:`written` has settled so far, once no result that reads them is
+    needed any more; how many there were. Until then they stay, so that any lost task can read them."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_settled)
+    while _settled:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """Rows numbered from 1 in a total order, without gathering them: ranges are sorted
     apart, and a range's rows start after the counts of those before it."""

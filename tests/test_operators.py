@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone import streaming
 from lodestone.functions import HASHES, jaccard, linear_hash, mahalanobis, string_mod, subset, trailing_zeros
 from lodestone.operators import clustering, explore, graph, itemsets, recommend, similarity, sketches
-from lodestone.sources import append_csv, csv_table, dense, file_stream, json_field, json_lines, load, numbered, points, tracked, write_csv, write_json
+from lodestone.sources import append_csv, csv_table, dense, file_stream, json_field, json_lines, load, numbered, points, release, tracked, write_csv, write_json, written
 
 
 def test_overview_and_tops(spark):
@@ -237,6 +238,13 @@ def test_numbered_is_total_and_ordered(spark):
     assert got == [(i, i + 1) for i in range(1000)]
 
 
+def test_settled_tables_can_be_released(spark):
+    table = written(spark.range(5), "small")
+    folder = Path(table.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert table.count() == 5 and folder.exists()
+    assert release(spark) >= 1 and not folder.exists() and release(spark) == 0
+
+
 def test_dense_ids_have_no_gaps(spark):
     rows = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4), ("d", 5)], "u string, i int").repartition(3)
     assert {(r.u, r.i, r.dense_id) for r in dense(rows, "u").collect()} == {("b", 1, 1), ("a", 2, 0), ("b", 3, 1), (None, 4, None), ("d", 5, 2)}
