@@ -47,7 +47,7 @@ def test_itemsets_equal_fpgrowth_and_are_monotone(spark):
     assert set(got) <= chunked
 
 
-def test_itemsets_of_any_size_by_brute_force(spark):
+def test_itemsets_of_any_size_by_brute_force(spark, monkeypatch):
     """No cap on the size: baskets that share twelve items have all 4,095 subsets."""
     items = [f"i{j:02}" for j in range(12)]
     held = [set(items), set(items), set(items[:3]), set(items[2:5]), {"z"}]
@@ -59,6 +59,9 @@ def test_itemsets_of_any_size_by_brute_force(spark):
             if k >= 2:
                 want[",".join(c)] = (n, k)
     assert {r.itemset: (r.size, r.support) for r in itemsets.frequent_itemsets(b, 2).collect()} == want
+    few = b.where("item < 'i06' or item = 'z'")
+    monkeypatch.setattr(itemsets, "LONGEST", 2)  # baskets that are too long for trees
+    assert {r.itemset: (r.size, r.support) for r in itemsets.frequent_itemsets(few, 2).collect()} == {k: v for k, v in want.items() if set(k.split(",")) <= set(items[:6])}
     assert {r.itemset: r.size for r in itemsets.local_candidates(b, F.lit(0), 2).collect()} == {k: n for k, (n, _) in want.items()}
     assert itemsets.frequent_itemsets(b.where("false"), 2).count() == itemsets.local_candidates(b.where("false"), F.lit(0), 2).count() == 0
 
