@@ -80,6 +80,25 @@ def test_hot_items_are_not_paired(spark, monkeypatch):
         assert {(r.a, r.b): r.common for r in graph.cooccurrence(rows, "u", "i", 4).collect()} == want and want
 
 
+@pytest.mark.parametrize("kind", [int, str])
+def test_edges_by_blocks_equal_brute_force(spark, monkeypatch, kind):
+    """Items that all nodes share make no row for each pair; nodes of any type, several blocks."""
+    rng = random.Random(5)
+    held = {(kind(u), i) for u in range(40) for i in (0, 1) if u % 7} | {(kind(u), rng.randrange(2, 30)) for u in range(40) for _ in range(7)}
+    want = {}
+    for a, b in itertools.combinations(sorted({u for u, _ in held}), 2):
+        n = sum((a, i) in held and (b, i) in held for i in range(30))
+        if n >= 4:
+            want[a, b] = n
+    rows = spark.createDataFrame([(u, f"x{i}") for u, i in sorted(held)], f"u {'long' if kind is int else 'string'}, i string")
+    monkeypatch.setattr(graph, "JOINED", 0)
+    for width in (3, 4_096):
+        monkeypatch.setattr(graph.blocks, "WIDTH", width)
+        got = graph.cooccurrence(rows, "u", "i", 4)
+        assert got.dtypes == [("a", rows.dtypes[0][1]), ("b", rows.dtypes[0][1]), ("common", "bigint")]
+        assert {(r.a, r.b): r.common for r in got.collect()} == want and want
+
+
 def test_cuts_equal_brute_force(spark):
     """Components and modularity of the definition after each removal."""
     rng = random.Random(6)
