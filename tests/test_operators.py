@@ -124,6 +124,25 @@ def test_correlations_by_blocks_equal_joins(spark, monkeypatch):
         assert all(math.isclose(other[k], v, abs_tol=2e-6) for k, v in predicted.items())
 
 
+def test_walks_equal_joined_levels(spark, monkeypatch):
+    """Workers that hold the graph carry what the joins of all roots' levels carry; no edges, no rows."""
+    rng = random.Random(11)
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(40)} | {(30, 31), (31, 32)})
+    edges = _edges(spark, pairs)
+
+    def result(of):
+        return {(r.a, r.b): r.betweenness for r in graph.edge_betweenness(of).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(graph, "distances", None)  # the walks need none
+        walked = result(edges)
+    none = result(edges.where("false"))
+    monkeypatch.setattr(graph, "HANDED", 0)
+    joined = result(edges)
+    assert none == {} and walked.keys() == joined.keys() == set(pairs)
+    assert all(math.isclose(walked[k], v, abs_tol=1e-4) for k, v in joined.items())
+
+
 def test_cuts_equal_brute_force(spark):
     """Components and modularity of the definition after each removal."""
     rng = random.Random(6)
