@@ -8,12 +8,13 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import streaming
 from lodestone.functions import HASHES, jaccard, linear_hash, mahalanobis, string_mod, subset, trailing_zeros
-from lodestone.operators import clustering, explore, graph, itemsets, recommend, similarity, sketches
+from lodestone.operators import blocks, clustering, explore, graph, itemsets, recommend, similarity, sketches
 from lodestone.operators.blocks import over_pairs
 from lodestone.sources import append_csv, csv_table, dense, file_stream, json_field, json_lines, load, numbered, points, release, tracked, write_csv, write_json, written
 
@@ -199,6 +200,20 @@ def test_similar_sets_equal_brute_force(spark, monkeypatch):
         assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want and len(want) > 20
 
 
+def test_pearson_queries_rate_once(spark, data, monkeypatch):
+    """The ratings are settled before they are counted and paired, and tables are as wide as there are members."""
+    from lodestone.plans import queries
+
+    seen = []
+    with monkeypatch.context() as m:
+        m.setattr(queries, "written", lambda df, name: seen.append(name) or df)
+        queries.pearson_user_pairs(spark, data)
+        queries.pearson_item_pairs(spark, data)
+    assert seen == ["ratings", "ratings"]
+    cells = blocks._Cells(pa.table({"node": [1, 1, 2], "member": [0, 4, 2], "rating": [1.0, 2.0, 3.0]}))
+    assert cells.columns == 5 and cells.laid(0, 0, 2, 5, cells.x)[0].tolist() == [[1, 0, 0, 0, 2], [0, 0, 3, 0, 0]]
+
+
 def test_cuts_equal_brute_force(spark):
     """Components and modularity of the definition after each removal."""
     rng = random.Random(6)
