@@ -165,6 +165,19 @@ def test_walks_equal_joined_levels(spark, monkeypatch):
     assert all(math.isclose(walked[k], v, abs_tol=1e-4) for k, v in joined.items())
 
 
+def test_wide_blocks_are_dealt_less_often(spark, monkeypatch):
+    """A block of common items holds several widths of nodes, and so many rows at most, about."""
+    rows = spark.createDataFrame([(u, i) for u in range(60) for i in range(8)], "u long, i long")
+    dealt = []
+    monkeypatch.setattr(graph, "JOINED", 0)
+    monkeypatch.setattr(graph.blocks, "WIDTH", 4)
+    monkeypatch.setattr(graph.blocks, "over_pairs", lambda rows, node, n, *a, met=graph.blocks.over_pairs: dealt.append(n) or met(rows, node, n, *a))
+    for most in (1_500_000, 48):
+        monkeypatch.setattr(graph, "BLOCK_ROWS", most)
+        assert graph.cooccurrence(rows, "u", "i", 4).count() == 60 * 59 // 2
+    assert dealt == [5, 10]
+
+
 def test_exact_pairs_by_blocks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(13)
     sets = {f"d{i:02}": {f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 12))} for i in range(40)}
