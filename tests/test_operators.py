@@ -165,6 +165,32 @@ def test_walks_equal_joined_levels(spark, monkeypatch):
     assert all(math.isclose(walked[k], v, abs_tol=1e-4) for k, v in joined.items())
 
 
+@pytest.mark.parametrize("kind", [int, str])
+def test_handed_labels_equal_joined_labels(spark, monkeypatch, kind):
+    """Rounds over a packed graph settle no table of labels of their own; nodes of any type, a long chain, repeats, no edges."""
+    rng = random.Random(17)
+    chain = rng.sample(range(100, 140), 40)
+    pairs = [tuple(sorted(map(kind, rng.sample(range(24), 2)))) for _ in range(60)] + [tuple(sorted(map(kind, x))) for x in itertools.pairwise(chain)]
+    edges = spark.createDataFrame(pairs, f"a {'long' if kind is int else 'string'}, b {'long' if kind is int else 'string'}").repartition(3)
+    settled, real = [], graph.written
+
+    def written(df, name):
+        settled.append(name)
+        return real(df, name)
+
+    def results(of):
+        found = graph.label_propagation(of, 3), graph.connected(of)
+        assert [x.dtypes for x in found] == [[("node", edges.dtypes[0][1]), (c, edges.dtypes[0][1])] for c in ("label", "component")]
+        return [sorted(map(tuple, x.collect())) for x in found]
+
+    monkeypatch.setattr(graph, "written", written)
+    monkeypatch.setattr(graph, "PACKED", 7)
+    handed = results(edges)
+    assert settled == ["nodes", "graph", "labels"] * 2 and results(edges.where("false")) == [[], []]
+    monkeypatch.setattr(graph, "LABELLED", 10)
+    assert results(edges) == handed and len(handed[0]) > 50
+
+
 def test_wide_blocks_are_dealt_less_often(spark, monkeypatch):
     """A block of common items holds several widths of nodes, and so many rows at most, about."""
     rows = spark.createDataFrame([(u, i) for u in range(60) for i in range(8)], "u long, i long")
