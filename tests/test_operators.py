@@ -191,6 +191,47 @@ def test_handed_labels_equal_joined_labels(spark, monkeypatch, kind):
     assert results(edges) == handed and len(handed[0]) > 50
 
 
+def test_handed_components_give_the_joined_forest(spark, monkeypatch):
+    """The same curve and communities, and no round settles tables; nodes with names, several components, no edges."""
+    rng = random.Random(19)
+    pairs = sorted({tuple(sorted(rng.sample([f"n{i}" for i in range(30)], 2))) for _ in range(70)} | {("x", "y"), ("y", "z")})
+    ranked = spark.createDataFrame([(a, b, float(rng.randrange(9))) for a, b in pairs], "a string, b string, betweenness double").repartition(3)
+    settled, real = [], graph.written
+
+    def written(df, name):
+        settled.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "written", written)
+    handed = graph.modularity_cuts(ranked)
+    assert settled == ["ranked", "forest-edges"] and graph.modularity_cuts(ranked.where("false")) == ([], {})
+    monkeypatch.setattr(graph, "LABELLED", 10)
+    assert graph.modularity_cuts(ranked) == handed and len(handed[0]) > 20
+
+
+def test_walks_end_when_all_is_reached():
+    """The edges of the last level are not looked at: they lead to no new node."""
+    import numpy as np
+
+    class Looked(np.ndarray):
+        seen = 0
+
+        def __getitem__(self, at):
+            Looked.seen += np.size(at)
+            return np.asarray(super().__getitem__(at))
+
+    star = sorted([(0, i) for i in range(1, 9)] + [(i, 0) for i in range(1, 9)])
+    start, target = np.searchsorted([a for a, _ in star], np.arange(10)), np.array([b for _, b in star])
+    edge = np.array([max(x) - 1 for x in star])
+    looked = []
+    for whole in (None, 9):
+        Looked.seen, total = 0, np.zeros(8)
+        graph._flow(0, start, target.view(Looked), edge, total, whole)
+        looked.append(Looked.seen)
+        assert total.tolist() == [1.0] * 8
+    assert looked == [16, 8]
+
+
 def test_wide_blocks_are_dealt_less_often(spark, monkeypatch):
     """A block of common items holds several widths of nodes, and so many rows at most, about."""
     rows = spark.createDataFrame([(u, i) for u in range(60) for i in range(8)], "u long, i long")
