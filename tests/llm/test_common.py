@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from lodestone.llm import common
 from lodestone.llm.common import CHUNK, buffer, chunks, spans, WHITE, word_hashes
 from tests.llm.helpers import words
 
@@ -53,3 +54,15 @@ def test_hashes_tell_patterns_of_repeats_apart():
     letters = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmnop0123456789"]
     h, _ = word_hashes(*buffer(pa.array([" ".join(letters)])))
     assert len(set(h.tolist())) == len(letters)
+
+
+def test_steps_of_many_tables_give_memory_back(spark, monkeypatch):
+    """Tables of one step collect the driver's garbage between them, but not after each; a settled step always does."""
+    given, real = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda session: given.append(1) or real(session))
+    rows = spark.range(3)
+    monkeypatch.setattr(common, "_given", [float("-inf")])
+    assert [common.written(rows, "t").count() for _ in range(3)] == [3] * 3 and len(given) == 1
+    monkeypatch.setattr(common, "GIVE_BACK_S", 0)
+    assert common.written(rows, "t").count() == 3 and len(given) == 2
+    assert common.settled(rows, "t").count() == 3 and len(given) == 4
