@@ -122,6 +122,38 @@ def test_edges_by_blocks_equal_brute_force(spark, monkeypatch, kind):
         assert {(r.a, r.b): r.common for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("kind", [int, str])
+def test_rows_are_packed_before_they_are_dealt(spark, monkeypatch, kind):
+    """No table of rows is settled for blocks; repeats and nulls make no edge, and all three ways give the same."""
+    rng = random.Random(23)
+    held = {(kind(u), f"x{i}") for u in range(40) for i in rng.sample(range(30), rng.randrange(1, 12))}
+    want = {}
+    for a, b in itertools.combinations(sorted({u for u, _ in held}), 2):
+        if (n := sum((a, f"x{i}") in held and (b, f"x{i}") in held for i in range(30))) >= 4:
+            want[a, b] = n
+    nulls = [(None, f"x{i}") for i in range(9)] + [(kind(1), None), (None, None)]
+    given = [*sorted(held) * 2, *nulls]
+    rng.shuffle(given)
+    rows = spark.createDataFrame(given, f"u {'long' if kind is int else 'string'}, i string").repartition(3)
+    settled, real = [], graph.written
+
+    def written(df, name):
+        settled.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "written", written)
+    monkeypatch.setattr(graph.blocks, "written", written)
+    monkeypatch.setattr(graph.blocks, "PACK_ROWS", 50)
+    for joined, dealt, names in ((0, 256, ["items", "blocks"]), (1e9, 256, ["items", "blocks", "held"]), (1e9, 0, ["held"])):
+        monkeypatch.setattr(graph, "JOINED", joined)
+        monkeypatch.setattr(graph, "DEALT", dealt)
+        settled.clear()
+        assert {(r.a, r.b): r.common for r in graph.cooccurrence(rows, "u", "i", 4).collect()} == want and want
+        assert settled == names
+    monkeypatch.setattr(graph, "DEALT", 256)
+    assert graph.cooccurrence(rows.where("false"), "u", "i", 4).count() == graph.cooccurrence(rows.limit(1), "u", "i", 4).count() == 0
+
+
 def test_correlations_by_blocks_equal_joins(spark, monkeypatch):
     """Pairs and predictions in blocks, with repeated cells, users without variance and several parts of items."""
     rng = random.Random(8)
