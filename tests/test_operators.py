@@ -197,6 +197,33 @@ def test_walks_equal_joined_levels(spark, monkeypatch):
     assert all(math.isclose(walked[k], v, abs_tol=1e-4) for k, v in joined.items())
 
 
+def test_alike_nodes_walk_once(spark, monkeypatch):
+    """Of nodes with the same neighbours, joined to each other or not, one walks: the same as the joins of all roots' levels."""
+    rng = random.Random(29)
+    base = sorted({tuple(sorted(rng.sample(range(12), 2))) for _ in range(16)})
+    nodes = sorted({x for p in base for x in p})
+    like = {x: [100 * k + x for k in range(1 + x % 4)] for x in nodes}  # 1 to 4 of each, those of even ones joined
+    pairs = {(p, q) for a, b in base for p in like[a] for q in like[b]} | {p for x in nodes if x % 2 == 0 for p in itertools.combinations(like[x], 2)}
+    pairs |= {(900, 901)} | set(itertools.combinations(range(910, 914), 2)) | {(920, x) for x in range(921, 925)}  # a pair, a clique, a star
+    pairs = sorted(tuple(sorted(p)) for p in pairs)
+    edges = _edges(spark, pairs)
+
+    ends = np.unique(np.array(pairs), return_inverse=True)[1].reshape(-1, 2)
+    of, apart = graph._folded(ends[:, 0], ends[:, 1], ends.max() + 1)
+    assert len(apart) <= len(nodes) + 4 and len(of) > 2 * len(apart) and apart.any()
+    repeated, none = graph._folded(np.array([0, 0, 0]), np.array([1, 1, 2]), 3)
+    assert repeated.tolist() == [0, 1, 2] and not none.any()
+
+    def result(of):
+        return {(r.a, r.b): r.betweenness for r in graph.edge_betweenness(of).collect()}
+
+    folded, clique = result(edges), result(edges.where("a between 910 and 913"))
+    monkeypatch.setattr(graph, "HANDED", 0)
+    joined = result(edges)
+    assert folded.keys() == joined.keys() == set(pairs) and set(clique.values()) == {1.0} and len(clique) == 6
+    assert all(math.isclose(folded[k], v, abs_tol=1e-4) for k, v in joined.items())
+
+
 @pytest.mark.parametrize("kind", [int, str])
 def test_handed_labels_equal_joined_labels(spark, monkeypatch, kind):
     """Rounds over a packed graph settle no table of labels of their own; nodes of any type, a long chain, repeats, no edges."""
